@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, near_dup
+from trellis.llm import decontaminate, near_dup, quality_rules
 from trellis.storage import read_table
 
 
@@ -18,5 +18,10 @@ def op8_oph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing_decontamination, op8_oph_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_threshold_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.verdicts(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(f"quality_report.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+QUERIES = {f.__name__: f for f in (op3_winnowing_decontamination, op8_oph_near_dedup, op9_threshold_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op9_threshold_quality_rules": quality_rules.sql()}
