@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, near_dup, quality_rules
+from trellis.llm import decontaminate, near_dup, packing, quality_rules, token_counts
 from trellis.storage import read_table
 
 
+def op1_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_oph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -23,5 +32,5 @@ def op9_threshold_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"quality_report.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing_decontamination, op8_oph_near_dedup, op9_threshold_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_whole_token_counts, op3_winnowing_decontamination, op6_large_item_packing, op8_oph_near_dedup, op9_threshold_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op9_threshold_quality_rules": quality_rules.sql()}
