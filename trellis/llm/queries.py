@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat_format, decontaminate, near_dup, packing, quality_rules, token_counts
+from trellis.llm import chat_format, decontaminate, language_id, near_dup, packing, quality_rules, token_counts
 from trellis.storage import read_table
 
 
@@ -23,6 +23,10 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,5 +40,5 @@ def op9_threshold_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"quality_report.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-QUERIES = {f.__name__: f for f in (op1_whole_token_counts, op2_prefix_target_chat, op3_winnowing_decontamination, op6_large_item_packing, op8_oph_near_dedup, op9_threshold_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_whole_token_counts, op2_prefix_target_chat, op3_winnowing_decontamination, op4_cross_parsing_language, op6_large_item_packing, op8_oph_near_dedup, op9_threshold_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op2_prefix_target_chat": chat_format.sql(), "op9_threshold_quality_rules": quality_rules.sql()}
