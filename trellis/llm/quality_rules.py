@@ -92,8 +92,10 @@ def verdicts(documents: DataFrame, text: str = "text", table: tuple[Rule, ...] =
     base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     failed = F.filter(F.array(*(F.when(_fails(r, m), F.lit(r.name)) for r in table)), lambda x: x.isNotNull()) if table else F.array().cast("array<string>")
     seven = six.select(*(F.col(f"`{c}`") for c in own), m.alias(made("counts")), base.alias(made("base")), failed.alias(made("failed")))
+    # a filter on the verdict must not be pushed below: there, each word array would be built anew for each mention
+    fence = F.monotonically_increasing_id() >= 0
     b, f = F.col(f"`{made('base')}`"), F.col(f"`{made('failed')}`")
-    return seven.select(*(F.col(f"`{c}`") for c in own), F.struct(*(m[c].alias(c) for c in (*COUNTS, "n_repeat_words")), b.alias("base_failed"), f.alias("failed"), (~b & (F.size(f) == 0)).alias("kept")).alias(into))
+    return seven.select(*(F.col(f"`{c}`") for c in own), F.struct(*(m[c].alias(c) for c in (*COUNTS, "n_repeat_words")), b.alias("base_failed"), f.alias("failed"), (~b & (F.size(f) == 0) & fence).alias("kept")).alias(into))
 
 
 def _fails(r: Rule, m: Column) -> Column:
