@@ -85,6 +85,19 @@ def sketches(documents: DataFrame, k: int, bands: int, rows: int, doc_id: str, t
     return documents.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SKETCH)
 
 
+def of_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of documents(id, text) whose id is among ids(id).
+
+    A bitmap of 4 MB, whatever the number of ids, is broadcast to drop most other rows before texts are shuffled.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << 25))
+    part, at = F.shiftright(bit, 15).cast("int"), bit.bitwiseAND(F.lit(32767))
+    bits = ids.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))  # 1024 rows of 4 KB
+    near = documents.withColumns({"part": part, "at": at.cast("int")}).join(F.broadcast(bits), "part")
+    byte = F.conv(F.hex(F.expr("substring(bits, shiftright(at, 3) + 1, 1)")), 16, 10).cast("int")
+    return near.where(byte.bitwiseAND(F.expr("shiftleft(1, at & 7)")) != 0).select("id", "text").join(ids, "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -110,8 +123,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> D
             keep = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = documents.join(nodes, "id", "left_semi")
+    texts = of_ids(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -168,9 +180,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         now = spread.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         centre = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64(F.col("id"), F.lit(r)).alias("by"), "id", "n", "component")).alias("c")).where("low <> high")
         centre = scratch.table(centre.select("bucket", F.col("c.id").alias("c"), F.col("c.n").alias("c_n"), F.col("c.component").alias("c_component")), "centres")
-        pairs = scratch.table(star(now.join(centre, "bucket").where("component <> c_component")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        spread = scratch.table(now.join(centre, "bucket"), "spread")  # only buckets that still hold several components
+        pairs = scratch.table(star(spread.where("component <> c_component")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        spread = spread.select("id", "n", "bucket")
         if pairs.isEmpty():
             break
+        if r == 1:
+            own = scratch.table(of_ids(own, spread.select("id").distinct()), "texts")
         more = scratch.table(confirmed(pairs, own, k, percent).distinct(), "links")
         if more.isEmpty():
             break
