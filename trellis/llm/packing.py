@@ -44,11 +44,12 @@ def bounds(n: int, capacity: int) -> list[int]:
 
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, and the ids themselves where asked for."""
-    shared = documents.sparkSession.sparkContext.broadcast(tokens.read(path))
+    spec = tokens.read(path)
+    shared = documents.sparkSession.sparkContext.broadcast((spec, tokens.ranks(spec)))
     mark = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.held(tokens.ByteIds, shared.value)
+        encoder = tokens.held(tokens.ByteIds, *shared.value)
         for batch in batches:
             row, piece, start, length, crc, ids, size = [], [], [], [], [], [], 0
 

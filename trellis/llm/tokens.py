@@ -1,12 +1,14 @@
 """Counts and ids of public tokenizers, exact by construction and mostly without running the tokenizer.
 
-Texts are cut into pre-tokens by Python's `re` where every character is below U+0250 (the tests hold the classes
-against the library for each of them); other texts are cut by the library. Each distinct pre-token is merged once by
-the library and remembered, up to a fixed number of entries.
+Texts with an unusual character, where libraries may differ on Unicode, or with a special string go to the tokenizer as
+they are. For word counts, other texts are cut into pre-tokens by Python's `re`, and each distinct one that is not proved
+whole is merged once by the tokenizer and remembered, up to a fixed number of entries. For ids, they are merged by rank,
+after a proof that this gives the tokenizer's ids. The tests hold both against it for all characters below U+0250.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -22,14 +24,15 @@ PART = 1 << 20
 
 
 def _class(start: str) -> str:
-    return "".join(f"\\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == start)
+    return "".join(f"\\u{c:04x}" if c > 127 else re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == start)
 
 
 L, N, S = _class("L"), _class("N"), r"\t\n\x0b\x0c\r \x85\xa0"
 UNUSUAL = re.compile("[^\x00-ɏ]")
 #: lower case leads out of the range from U+0180 on, and for U+0130
 UNUSUAL_LOWER = re.compile("[^\x00-įı-ſ]")
-_BYTES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
+#: how byte-level vocabularies cut texts, for the library that merges by rank
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 _INNER_SPACE = re.compile(rf"(?<=[^{S}]) (?=[^{S}])")
 
@@ -104,33 +107,48 @@ class WordCounter:
         return n
 
 
+def ranks(spec: str) -> dict[bytes, int] | None:
+    """The vocabulary as bytes by id, if merging by rank is proved to give the library's ids; else None.
+
+    Merging by rank joins the pair whose joint string has the least id, the library the pair of the first merge. Ids
+    must follow merges, and every vocabulary string encoded alone must come out as itself. Then both agree: before
+    either could join other halves of a string t than t's own, all joins of lesser rank inside t are done, as they are
+    when t stands alone, and there t's own halves are what is left.
+    """
+    tok, model = _tokenizer(spec), json.loads(spec)["model"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    vocab = model["vocab"]
+    of = {c: b for b, c in _byte_letters().items()}
+    out = {bytes(of[c] for c in s): i for s, i in vocab.items() if all(c in of for c in s)}
+    in_order = all(vocab.get(a + b) == i for i, (a, b) in enumerate(merges, len(vocab) - len(merges)))
+    whole = len(out) == len(vocab) and all(len(found := tok.model.tokenize(s)) == 1 and found[0].id == i for s, i in vocab.items())
+    return out if in_order and whole and all(bytes([b]) in out for b in range(256)) else None
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class ByteIds:
     """Ids under a byte-level BPE without normalisation, as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, spec: str) -> None:
-        self.tok, self.memo = _tokenizer(spec), {}
+    def __init__(self, spec: str, ranked: dict[bytes, int] | None) -> None:
+        self.tok = _tokenizer(spec)
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
+        self.by_rank = None
+        if ranked:
+            import tiktoken
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=_PIECES, mergeable_ranks=ranked, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text) or self.special and self.special.search(text):
-            return self._plain(text)
-        out, memo = [], self.memo
-        for part in parts(text):
-            found = _BYTES.findall(part)
-            fresh = [w for w in {*found} if w not in memo]
-            if fresh:
-                if len(memo) + len(fresh) > MEMO:
-                    memo.clear()
-                    fresh = [*{*found}]
-                for a in range(0, len(fresh), 10_000):
-                    some = fresh[a : a + 10_000]
-                    memo |= zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(some, add_special_tokens=False)), strict=True)
-            out.append(b"".join(map(memo.__getitem__, found)))
-        return b"".join(out)
+        if self.by_rank is None or UNUSUAL.search(text) or self.special and self.special.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(np.asarray(self.by_rank.encode_to_numpy(part, disallowed_special=()), "<u4").tobytes() for part in parts(text))
 
 
 _held: dict[tuple, object] = {}
