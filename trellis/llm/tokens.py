@@ -148,7 +148,7 @@ class ByteIds:
     def encode(self, text: str) -> bytes:
         if self.by_rank is None or UNUSUAL.search(text) or self.special and self.special.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(np.asarray(self.by_rank.encode_to_numpy(part, disallowed_special=()), "<u4").tobytes() for part in parts(text))
+        return b"".join(np.array(self.by_rank.encode_ordinary(part), "<u4").tobytes() for part in parts(text))
 
 
 _held: dict[tuple, object] = {}
