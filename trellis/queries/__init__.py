@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from trellis.queries import patterns
+
+QUERIES = dict(patterns.QUERIES)
+ORACLE_SQL = dict(patterns.ORACLE_SQL)
