@@ -86,7 +86,7 @@ def sketches(documents: DataFrame, k: int, bands: int, rows: int, doc_id: str, t
 
 
 def of_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of documents(id, text) whose id is among ids(id).
+    """The rows of documents(id, text) whose id is among ids(id), which are distinct.
 
     A bitmap of 4 MB, whatever the number of ids, is broadcast to drop most other rows before texts are shuffled.
     """
@@ -95,7 +95,8 @@ def of_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
     bits = ids.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))  # 1024 rows of 4 KB
     near = documents.withColumns({"part": part, "at": at.cast("int")}).join(F.broadcast(bits), "part")
     byte = F.conv(F.hex(F.expr("substring(bits, shiftright(at, 3) + 1, 1)")), 16, 10).cast("int")
-    return near.where(byte.bitwiseAND(F.expr("shiftleft(1, at & 7)")) != 0).select("id", "text").join(ids, "id", "left_semi")
+    # an inner join with distinct ids: a semi-join would be pushed below the bitmap and shuffle every text
+    return near.where(byte.bitwiseAND(F.expr("shiftleft(1, at & 7)")) != 0).select("id", "text").join(ids, "id")
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -168,6 +169,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     centres = scratch.table(member.groupBy("bucket").agg(F.min(order(0)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket", F.col("c.id").alias("c"), F.col("c.n").alias("c_n")), "centres")
     shared = scratch.table(member.join(centres, "bucket"), "shared")
     own = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    own = scratch.table(of_ids(own, shared.select("id").distinct()), "texts")  # all that is ever compared
 
     def star(df: DataFrame) -> DataFrame:
         return df.where((F.col("id") != F.col("c")) & _fits(F.col("n"), F.col("c_n"), percent)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
@@ -185,8 +187,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         spread = spread.select("id", "n", "bucket")
         if pairs.isEmpty():
             break
-        if r == 1:
-            own = scratch.table(of_ids(own, spread.select("id").distinct()), "texts")
         more = scratch.table(confirmed(pairs, own, k, percent).distinct(), "links")
         if more.isEmpty():
             break
