@@ -101,7 +101,7 @@ class Graph:
     def aql(self, text: str, **params) -> DataFrame:
         from trellis.plans.aql import to_cypher
 
-        return self.cypher(*to_cypher(text), **params)
+        return self.cypher(to_cypher(text), **params)
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trellis.queries import patterns
+from trellis.queries import operators, patterns
 
-QUERIES = dict(patterns.QUERIES)
-ORACLE_SQL = dict(patterns.ORACLE_SQL)
+QUERIES = dict(patterns.QUERIES) | operators.QUERIES
+ORACLE_SQL = dict(patterns.ORACLE_SQL) | operators.ORACLE_SQL
