@@ -5,8 +5,10 @@
    densification). `rows` bins make a band.
 2. Documents with equal sets are one class, whose smallest id goes on; copies need no pairs.
 3. The members of a bucket (equal band) are linked to one centre, so that pairs grow with members, not their square.
-   Links are confirmed on full shingle sets, and linked documents become components. Buckets whose members still lie in
-   several components get another centre in each later round, until rounds bring no further link.
+   Links are confirmed on full shingle sets, and linked documents become components. A centre that has met all members
+   leaves the bucket. Buckets whose members still lie in several components get further centres, four times as many in
+   each round, until each has one component or has had all its members for centres; so no pair of a bucket is left out
+   that could join two components, and none within a component is made.
 4. Components spread the smallest id by joins with pointer jumping; nothing is gathered in one place.
 
 Null or blank texts have empty sets and are linked with nothing, as are rows with a null id (their component is null).
@@ -150,11 +152,8 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept.
-
-    rounds bounds how often buckets get a further centre; fewer are run when one brings no new link.
-    """
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(documents.sparkSession, "near-dup")
     sketch = scratch.table(sketches(documents, k, bands, rows, doc_id, text), "sketch")
     sets = ["n_shingles", "set1", "set2"]
@@ -175,22 +174,27 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         return df.where((F.col("id") != F.col("c")) & _fits(F.col("n"), F.col("c_n"), percent)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
     tried = scratch.table(star(shared), "pairs")
-    links = scratch.table(confirmed(tried, own, k, percent).distinct(), "links")
-    label = components(links, scratch)
-    spread = shared.select("id", "n", "bucket")
-    for r in range(1, rounds):
+    label = components(scratch.table(confirmed(tried, own, k, percent).distinct(), "links"), scratch)
+    spread = shared.where("id <> c").select("id", "n", "bucket")  # a centre has met all members, and leaves
+    r = 0
+    while True:
+        r += 1
         now = spread.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        centre = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64(F.col("id"), F.lit(r)).alias("by"), "id", "n", "component")).alias("c")).where("low <> high")
-        centre = scratch.table(centre.select("bucket", F.col("c.id").alias("c"), F.col("c.n").alias("c_n"), F.col("c.component").alias("c_component")), "centres")
-        spread = scratch.table(now.join(centre, "bucket"), "spread")  # only buckets that still hold several components
-        pairs = scratch.table(star(spread.where("component <> c_component")).join(tried, ["a", "b"], "left_anti"), "pairs")
-        spread = spread.select("id", "n", "bucket")
-        if pairs.isEmpty():
+        several = now.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "m")
+        # four times as many centres each round: after log4(m) rounds every member has been one
+        drawn = F.pmod(F.xxhash64(F.col("id"), F.lit(r)), F.lit(1 << 20)) * F.col("m") < F.lit((1 << 20) * 4**r)
+        spread = scratch.table(now.join(several, "bucket").withColumn("is_centre", drawn).drop("m"), "spread")  # only buckets that still hold several components
+        if spread.isEmpty():
             break
+        centre = spread.where("is_centre").select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_component"))
+        pairs = scratch.table(star(spread.join(centre, "bucket").where("component <> c_component")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        spread = spread.where("NOT is_centre").select("id", "n", "bucket")
+        if pairs.isEmpty():
+            continue
         more = scratch.table(confirmed(pairs, own, k, percent).distinct(), "links")
+        tried = tried.union(pairs)
         if more.isEmpty():
-            break
-        tried, links = tried.union(pairs), links.union(more)
+            continue
         # only what reaches across components matters from here on: link the components themselves
         old = label
         at = lambda c, old=old: old.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
