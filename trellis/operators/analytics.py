@@ -167,12 +167,19 @@ def k_core(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """id, component (its least id): colour by the least id that reaches a node, then take what the colour's root is
-    reached from within the colour; the rest goes on."""
+    """id, component (its least id): nodes that lack edges in or out are taken off first, being alone; then colour by the
+    least id that reaches a node, and take what the colour's root is reached from within the colour; the rest goes on."""
     scratch = Scratch(edges.sparkSession, "scc")
     left, done = scratch.table(_nodes(edges), "left"), None
     live = scratch.table(_pairs(edges).where("s <> o_id"), "live")
     while not left.isEmpty():
+        inner = scratch.table(live.select(F.col("s").alias("id")).intersect(live.select("o_id")), "inner")
+        alone = scratch.table(left.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")), "alone")
+        if not alone.isEmpty():
+            done = alone if done is None else done.unionAll(alone)
+            left = inner
+            live = scratch.table(live.join(left.toDF("s"), "s", "left_semi").join(left.toDF("o_id"), "o_id", "left_semi"), "live")
+            continue
         colour = _spread(scratch, live, left.withColumn("c", F.col("id")))
         same = live.join(colour.toDF("s", "cs"), "s").join(colour.toDF("o_id", "co"), "o_id").where("cs = co").select("s", "o_id")
         same = scratch.table(same, "same")
@@ -182,6 +189,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = found if done is None else done.unionAll(found)
         left = scratch.table(left.join(found, "id", "left_anti"), "left")
         live = scratch.table(live.join(left.toDF("s"), "s", "left_semi").join(left.toDF("o_id"), "o_id", "left_semi"), "live")
+    if done is None:
+        return left.select("id", F.col("id").alias("component"))
     least = done.groupBy("component").agg(F.min("id").alias("least"))
     return done.join(least, "component").select("id", F.col("least").alias("component"))
 
