@@ -263,7 +263,8 @@ def betweenness(edges: DataFrame, sample: int | None = None, direction: str = "o
             for s in pdf["id"]:
                 for k, v in brandes(shared.value, s).items():
                     total[k] += v
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
+        if total:
+            yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=float)})
 
     part = chosen.repartition(spark.sparkContext.defaultParallelism, "id").mapInPandas(run, "id string, part double").groupBy("id").agg((F.sum("part") * scale).alias("score"))
     return nodes.join(part, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
