@@ -58,3 +58,18 @@ def test_edges(spark):
     assert all(r.log_prob == 0 and r.mean_log_prob == 0 for r in got if not r.n_tokens)
     assert all(np.isfinite(r.log_prob) and r.log_prob <= 1e-3 for r in got)
     assert M.pseudo_likelihood(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("texts", [["one two three"], ["long tail " * 20_000, "a b c a d", None, "x"]])
+def test_every_word_is_a_target_in_every_round(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    vocabulary, flat = M.learn(df)
+    lists = [vocabulary.tokens(np.concatenate([hashed(w) for w in brute.alnum_words(t)])) for t in texts if t]
+    tokens, bounds = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+    context = M.contexts(tokens, bounds, np.arange(len(tokens)), M.WINDOW, vocabulary.edge)
+    want = M.Network(vocabulary.edge).flat()
+    for nth in range(M.ROUNDS):
+        net = M.Network(vocabulary.edge).load(want)
+        net.train(context, vocabulary.cls[tokens], rate=0.05 / (1 + nth))
+        want = net.flat()
+    assert np.allclose(flat, want, atol=1e-4)

@@ -5,8 +5,8 @@
 2. A network in numpy sees `window` tokens on both sides of a masked one (embedding, one hidden layer) and gives the
    probabilities of its class; a word's probability within its class is its share of the class's count. So
    p(word | both sides) = p(class | both sides) * p(word | class) sums to one over all words.
-3. Every task trains on windows of its own documents, one in `stride` places picked by a hash, from common weights; the
-   weights are then averaged by numbers of windows, in `rounds` rounds. What is trained on grows with the corpus.
+3. Every task trains on the windows around all words of its own documents, from common weights; the weights are then
+   averaged by numbers of windows, in `rounds` rounds. Every word of the corpus is a target once a round.
 4. A document's score is the sum of log-probabilities of its words, each predicted from both of its sides.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z; texts are read whole, windows end at texts'
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trellis.llm import words as W
 from trellis.storage import Scratch
 
-TOP, BUCKETS, CLASSES, WINDOW, DIM, HIDDEN, STRIDE, ROUNDS = 2048, 64, 32, 2, 12, 32, 48, 2
+TOP, BUCKETS, CLASSES, WINDOW, DIM, HIDDEN, ROUNDS = 2048, 64, 32, 2, 12, 32, 2
 _SLICE = 1 << 15
 
 
@@ -66,6 +66,7 @@ class Network:
         self.window, self.dim, rng = window, dim, np.random.Generator(np.random.PCG64(5))
         draw = lambda *s, by=1.0: (rng.standard_normal(s) * by).astype(np.float32)
         self.w = [draw(vocabulary + 1, dim, by=0.3), draw(2 * window * dim, hidden, by=(2 * window * dim) ** -0.5), np.zeros(hidden, np.float32), draw(hidden, classes, by=hidden**-0.5), np.zeros(classes, np.float32)]
+        self.sums = [np.full(w.shape, 1e-2, np.float32) for w in self.w]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.w])
@@ -86,8 +87,8 @@ class Network:
         return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
 
     def train(self, context: np.ndarray, target: np.ndarray, rate: float = 0.05, size: int = 256) -> None:
-        """One pass of AdaGrad."""
-        sums = [np.full(w.shape, 1e-2, np.float32) for w in self.w]
+        """One pass of AdaGrad; its sums last over calls, so that a task's texts may come in slices."""
+        sums, small = self.sums, np.uint16 if len(self.w[0]) <= 1 << 16 else np.int64
         for i in range(0, len(context), size):
             c, t = context[i : i + size], target[i : i + size]
             x, h, logp = self.forward(c)
@@ -96,9 +97,10 @@ class Network:
             dz /= len(t)
             dh = (dz @ self.w[3].T) * (1 - h * h)
             dx = (dh @ self.w[1].T).reshape(len(c), -1, self.dim)
-            rows, inverse = np.unique(c, return_inverse=True)
-            de = np.zeros((len(rows), self.dim), np.float32)
-            np.add.at(de, inverse.ravel(), dx.reshape(-1, self.dim))
+            order = np.argsort(c.ravel().astype(small), kind="stable")  # a radix sort where it is 16 bits
+            of = c.ravel()[order]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            rows, de = of[first], np.add.reduceat(dx.reshape(-1, self.dim)[order], first, axis=0)
             for k, g in ((1, x.T @ dh), (2, dh.sum(0)), (3, h.T @ dz), (4, dz.sum(0))):
                 sums[k] += g * g
                 self.w[k] -= rate * g / np.sqrt(sums[k])
@@ -138,7 +140,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def learn(documents: DataFrame, text: str = "text", top: int = TOP, stride: int = STRIDE, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
+def learn(documents: DataFrame, text: str = "text", top: int = TOP, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the weights."""
     texts = documents.select(F.col(text).cast("string").alias("text"))
     counts = Scratch(documents.sparkSession, "masked-lm").table(count_words(texts), "counts")
@@ -151,11 +153,11 @@ def learn(documents: DataFrame, text: str = "text", top: int = TOP, stride: int
     vocabulary = Vocabulary(common, [(b, n, max(1, d)) for b, (n, d) in rest.items()])
     flat = Network(vocabulary.edge).flat()
     for r in range(rounds):
-        flat = _averaged(texts, vocabulary, flat, stride, r)
+        flat = _averaged(texts, vocabulary, flat, r)
     return vocabulary, flat
 
 
-def _averaged(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, stride: int, nth: int) -> np.ndarray:
+def _averaged(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, nth: int) -> np.ndarray:
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +165,11 @@ def _averaged(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, stride
         net, n = Network(vocabulary.edge).load(flat), 0
         for batch in batches:
             for _, _, h, bounds in _read(batch.column(0)):
-                at = np.flatnonzero(W.mix(h + np.arange(len(h), dtype=np.uint64) * np.uint64(2 * nth + 3)) % np.uint64(stride) == 0)
-                if len(at):
-                    tokens = vocabulary.tokens(h)
+                tokens = vocabulary.tokens(h)
+                for a in range(0, len(h), _SLICE):
+                    at = np.arange(a, min(len(h), a + _SLICE))
                     net.train(contexts(tokens, bounds, at, net.window, vocabulary.edge), vocabulary.cls[tokens[at]], rate=0.05 / (1 + nth))
-                    n += len(at)
+                n += len(h)
         if n:
             made = net.flat().astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(made), dtype=np.int32)), pa.array(made), pa.array(np.full(len(made), n, np.int64))], names=["i", "w", "n"])
