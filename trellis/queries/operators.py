@@ -9,7 +9,7 @@ from trellis.operators import analytics as A
 from trellis.operators import inference, mutate, paths, search, temporal, traversal
 from trellis.plans.graph import Graph
 from trellis.sources import formats
-from trellis.sources.tables import chain_graph, graph, small_graph, temporal_edges
+from trellis.sources.tables import chain_graph, graph, small_graph, supply_graph, temporal_edges
 from trellis.storage import read_table
 
 QUERIES: dict = {}
@@ -177,7 +177,15 @@ def cdlp(spark, d):
 
 def _co(spark, d) -> DataFrame:
     """Suppliers that share a part of a low key."""
-    e = small_graph(spark, d, 12)
+    return _pairs_of(small_graph(spark, d, 12))
+
+
+def _co_whole(spark, d) -> DataFrame:
+    """Suppliers that share any part."""
+    return _pairs_of(supply_graph(spark, d))
+
+
+def _pairs_of(e: DataFrame) -> DataFrame:
     return e.alias("x").join(e.alias("y"), F.expr("x.s = y.s AND x.o_id < y.o_id")).select(F.col("x.o_id").alias("s"), F.lit("WITH").alias("p"), F.col("y.o_id").alias("o_id"), F.lit(1.0).alias("weight")).distinct()
 
 
@@ -191,7 +199,7 @@ def triangles_lcc(spark, d):
 
 @query()
 def kcore(spark, d):
-    return A.k_core(small_graph(spark, d))
+    return A.k_core(supply_graph(spark, d))
 
 
 @query(f"WITH {_CO} SELECT a AS id, a AS component FROM c UNION SELECT b, b FROM c")
@@ -215,12 +223,12 @@ def eigenvector_fixed(spark, d):
 
 @query()
 def betweenness(spark, d):
-    return A.betweenness(small_graph(spark, d), 50, "both").select("id", F.round("score", 6).alias("score"))
+    return A.betweenness(supply_graph(spark, d), 50, "both").select("id", F.round("score", 6).alias("score"))
 
 
 @query()
 def leiden(spark, d):
-    return A.communities(_co(spark, d))
+    return A.communities(_co_whole(spark, d))
 
 
 @query("SELECT DISTINCT a.s AS id FROM (SELECT n_nationkey AS s, n_regionkey AS r FROM nation) a WHERE false")
@@ -229,6 +237,62 @@ def ring_detection(spark, d):
     return e.join(e.toDF("b", "c"), F.col("o_id") == F.col("b")).join(e.toDF("x", "y"), (F.col("c") == F.col("x")) & (F.col("y") == F.col("s"))).select(F.col("s").cast("int").alias("id")).distinct()
 
 
+# --- the same over all of lineitem: `SMALL` and `_CO` keep the queries above to parts of a low key
+def _over_all(name: str) -> str:
+    return ORACLE_SQL[name].replace(" WHERE l_partkey < 60", "").replace(" WHERE l_partkey < 12", "")
+
+
+@query(_over_all("all_shortest_paths"))
+def all_shortest_paths_whole(spark, d):
+    return paths.shortest(supply_graph(spark, d), spark.createDataFrame([("Part:1", "Part:2")], "src string, dst string"), 2, "both", every=True)
+
+
+@query(_over_all("all_simple_paths"))
+def all_simple_paths_whole(spark, d):
+    return paths.simple(supply_graph(spark, d), spark.createDataFrame([("Part:1", "Supplier:5")], "src string, dst string"), 1, 3, "both")
+
+
+@query(_over_all("pagerank_fixed"))
+def pagerank_whole(spark, d):
+    return A.pagerank(supply_graph(spark, d), rounds=4).select("id", F.round("score", 9).alias("score"))
+
+
+@query(_over_all("ppr_fixed"))
+def ppr_whole(spark, d):
+    return A.personalized_pagerank(supply_graph(spark, d), ["Part:1"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score"))
+
+
+@query(_over_all("ppr_bidirectional"))
+def ppr_bidirectional_whole(spark, d):
+    return A.personalized_pagerank(supply_graph(spark, d), ["Part:1"], rounds=3, tolerance=None, bidirectional=True).select("id", F.round("score", 9).alias("score"))
+
+
+@query()
+def wcc_whole(spark, d):
+    return A.components(supply_graph(spark, d))
+
+
+@query(_over_all("cdlp"))
+def cdlp_whole(spark, d):
+    return A.label_propagation(supply_graph(spark, d), 3)
+
+
+@query(_over_all("triangles_lcc"))
+def triangles_lcc_whole(spark, d):
+    return A.triangles(_co_whole(spark, d)).select("id", "triangles", F.round("lcc", 9).alias("lcc"))
+
+
+@query(_over_all("closeness_sample"))
+def closeness_whole(spark, d):
+    return A.closeness(supply_graph(spark, d), "harmonic", "both", 2, _seed(spark, "Part:1")).select("id", F.round("score", 9).alias("score"))
+
+
+@query(_over_all("eigenvector_fixed"))
+def eigenvector_whole(spark, d):
+    e = supply_graph(spark, d)
+    return A.eigenvector(e.unionAll(e.select(F.col("o_id").alias("s"), "p", F.col("s").alias("o_id"), "weight")), 3).select("id", F.round("score", 8).alias("score"))
+
+
 @query("SELECT 'Nation:' || c_nationkey AS id, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(*) > 2")
 def hub_detection(spark, d):
     return graph(spark, d).cypher("MATCH (c:Customer {c_mktsegment: 'BUILDING'})-[:IN_NATION]->(n) WITH n, count(c) AS n2 WHERE n2 > 2 RETURN n.id AS id, n2 AS n")
