@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from tests.test_algorithms import table
+from tests.test_algorithms import distances, table
 from trellis.queries import QUERIES
 
 SUPPLY = [(p, s) for p in (1, 70, 90, 400) for s in (1, 2, 3, 4)] + [(p, s) for p in (80, 500) for s in (11, 12, 13)] + [(900, 4), (901, 4), (902, 21)]
@@ -81,3 +81,42 @@ def test_leiden_of_all_parts(spark, supply):
     for v, c in table(QUERIES["leiden"](spark, supply), value="community").items():
         groups[c].add(v)
     assert sorted(map(sorted, groups.values())) == [[f"Supplier:{s}" for s in (1, 2, 3, 4)], [f"Supplier:{s}" for s in (11, 12, 13)]]
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """Lines of orders: a ring of three and one of four parts joined by an edge, one of two, and parts in a row."""
+    d = tmp_path_factory.mktemp("orders")
+    lists = [(70, 90), (90, 400), (400, 70, 70), (400, 500), (500, 510, 520, 530, 500), (600, 610, 600), (610, 700, 701, 702), (703, 703)]
+    rows = [(k, p, 1, i + 1, 1.0, 0.0) for k, ps in enumerate(lists) for i, p in enumerate(ps)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{d}/lineitem.parquet")
+    return str(d), sorted({(f"Part:{a}", f"Part:{b}") for ps in lists for a, b in zip(ps, ps[1:], strict=False)})
+
+
+def test_scc_of_a_graph_with_cycles(spark, orders):
+    d, pairs = orders
+    nodes = sorted({x for p in pairs for x in p})
+    far = {v: distances(pairs, v) for v in nodes}
+    want = {v: min(u for u in nodes if u in far[v] and v in far[u]) for v in nodes}
+    assert sorted(map(list(want.values()).count, set(want.values())))[-3:] == [2, 3, 4]
+    assert table(QUERIES["scc_whole"](spark, d), value="component") == want
+
+
+def test_scc_of_the_driver_tables(spark, sf):
+    e = [(f"Part:{r[0]}", f"Part:{r[1]}") for r in spark.sql(f"SELECT DISTINCT a.l_partkey, b.l_partkey FROM parquet.`{sf}/lineitem.parquet` a JOIN parquet.`{sf}/lineitem.parquet` b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber").collect()]
+    out = defaultdict(set)
+    for a, b in e:
+        out[a].add(b)
+    far = {}
+    for v in {x for p in e for x in p}:
+        far[v], stack = {v}, [v]
+        while stack:
+            for u in out[stack.pop()] - far[v]:
+                far[v].add(u)
+                stack.append(u)
+    want = {v: min(u for u in far[v] if v in far[u]) for v in far}
+    assert table(QUERIES["scc_whole"](spark, sf), value="component") == want
+
+
+def test_rings_of_three(spark, orders):
+    assert sorted(r.id for r in QUERIES["ring_detection_whole"](spark, orders[0]).collect()) == ["Part:400", "Part:70", "Part:90"]

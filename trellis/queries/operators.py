@@ -293,6 +293,29 @@ def eigenvector_whole(spark, d):
     return A.eigenvector(e.unionAll(e.select(F.col("o_id").alias("s"), "p", F.col("s").alias("o_id"), "weight")), 3).select("id", F.round("score", 8).alias("score"))
 
 
+# --- a directed graph with cycles: from each part of an order to the part of the order's next line
+def _next_part(spark, d) -> DataFrame:
+    item = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = item.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("then"))
+    ident = lambda c: F.concat(F.lit("Part:"), c)
+    return item.join(after, ["l_orderkey", "l_linenumber"]).select(ident("l_partkey").alias("s"), F.lit("THEN").alias("p"), ident("then").alias("o_id"), F.lit(1.0).alias("weight")).distinct()
+
+
+_NEXT = "c AS (SELECT DISTINCT 'Part:' || a.l_partkey AS a, 'Part:' || b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber)"
+
+
+@query()
+def scc_whole(spark, d):
+    return A.strong_components(_next_part(spark, d))
+
+
+@query(f"WITH {_NEXT}, k AS (SELECT a, b FROM c WHERE a <> b), t AS (SELECT x.a AS i, x.b AS j, y.b AS l FROM k x JOIN k y ON x.b = y.a JOIN k z ON z.a = y.b AND z.b = x.a) SELECT DISTINCT unnest([i, j, l]) AS id FROM t")
+def ring_detection_whole(spark, d):
+    e = _next_part(spark, d).where("s <> o_id").select("s", "o_id")
+    wedges = e.join(e.toDF("o_id", "c"), "o_id").select("s", "c").distinct()
+    return wedges.join(e.toDF("c", "s"), ["s", "c"], "left_semi").select(F.col("s").alias("id")).distinct()
+
+
 @query("SELECT 'Nation:' || c_nationkey AS id, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(*) > 2")
 def hub_detection(spark, d):
     return graph(spark, d).cypher("MATCH (c:Customer {c_mktsegment: 'BUILDING'})-[:IN_NATION]->(n) WITH n, count(c) AS n2 WHERE n2 > 2 RETURN n.id AS id, n2 AS n")
