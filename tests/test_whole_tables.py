@@ -120,3 +120,20 @@ def test_scc_of_the_driver_tables(spark, sf):
 
 def test_rings_of_three(spark, orders):
     assert sorted(r.id for r in QUERIES["ring_detection_whole"](spark, orders[0]).collect()) == ["Part:400", "Part:70", "Part:90"]
+
+
+def test_long_paths_of_all_conversations(spark, tmp_path):
+    turns = {0: 2, 4: 1, 7: 6, 400: 9}
+    rows = [(c, t, "user", "x") for c, n in turns.items() for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = table(QUERIES["long_paths_whole"](spark, str(tmp_path)), "src", "hops")
+    assert got == {f"Turn:{c}:0": n - 1 for c, n in turns.items() if n > 1}
+
+
+@pytest.mark.parametrize("name", ["chain_3_whole", "cycle_close_whole", "named_path_whole", "shortest_path_whole"])
+def test_customers_of_any_id_are_matched(spark, sf, name):
+    known = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey >= 50").count()
+    got = QUERIES[name](spark, sf)
+    key = {"chain_3_whole": "c >= 50", "cycle_close_whole": "c >= 50", "named_path_whole": "int(regexp_extract(p, 'Customer:([0-9]+)', 1)) >= 50", "shortest_path_whole": "int(substring(src, 10)) >= 50"}[name]
+    seen = got.where(key).count()
+    assert 0 < seen <= known and (seen == known or name in ("chain_3_whole", "cycle_close_whole"))

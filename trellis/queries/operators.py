@@ -112,6 +112,13 @@ def all_shortest_paths(spark, d):
     return paths.shortest(small_graph(spark, d), spark.createDataFrame([("Part:1", "Part:2")], "src string, dst string"), 2, "both", every=True)
 
 
+@query(ORACLE_SQL["shortest_path"].replace(" WHERE c_custkey < 20", ""))
+def shortest_path_whole(spark, d):
+    ids = lambda label, name, key: read_table(spark, d, name).select(F.concat(F.lit(f"{label}:"), key))
+    pairs = ids("Customer", "customer", "c_custkey").toDF("src").crossJoin(ids("Region", "region", "r_regionkey").toDF("dst"))
+    return paths.shortest(_places(graph(spark, d)), pairs, 4)
+
+
 @query(f"WITH {SMALL}, q AS (SELECT a.u AS p0, a.v AS p1, c.v AS p2, x.v AS p3 FROM b a JOIN b c ON a.v = c.u JOIN b x ON c.v = x.u WHERE a.u = 'Part:1' AND c.v <> a.u AND x.v <> a.v) SELECT p0 AS src, p3 AS dst, [p0, p1, p2, p3] AS nodes, 3 AS length FROM q WHERE p3 = 'Supplier:5' UNION ALL SELECT u, v, [u, v], 1 FROM b WHERE u = 'Part:1' AND v = 'Supplier:5'")
 def all_simple_paths(spark, d):
     return paths.simple(small_graph(spark, d), spark.createDataFrame([("Part:1", "Supplier:5")], "src string, dst string"), 1, 3, "both")
@@ -129,6 +136,12 @@ def long_paths(spark, d):
     return traversal.reach(g.edges["NEXT"].df, seeds, 1, 500).groupBy("src").agg(F.max("hop").cast("long").alias("hops"))
 
 
+@query(ORACLE_SQL["long_paths"].replace(" WHERE conv_id < 5", ""))
+def long_paths_whole(spark, d):
+    seeds = read_table(spark, d, "conversations").select(F.concat(F.lit("Turn:"), "conv_id", F.lit(":0")).alias("src")).distinct()
+    return traversal.reach(chain_graph(spark, d).edges["NEXT"].df, seeds, 1, 1_000_000).groupBy("src").agg(F.max("hop").cast("long").alias("hops"))
+
+
 # --- analytics
 def _rounds(n: int, first: str, step: str) -> str:
     return ", ".join([first.format(i=0)] + [step.format(i=i, j=i - 1) for i in range(1, n + 1)])

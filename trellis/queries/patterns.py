@@ -80,6 +80,9 @@ CASES: dict[str, tuple[str, dict, str]] = {
     "db_nodetypeproperties": ("CALL db.schema.nodeTypeProperties() YIELD nodeLabel AS l, propertyName AS p WHERE l = 'Region' RETURN l, p", {}, "SELECT 'Region' AS l, unnest(['r_regionkey', 'r_name']) AS p"),
     "call_then_match": ("CALL graph.neighbors('Nation:3', 'IN_REGION', 'out') YIELD node AS r MATCH (x:Nation)-[:IN_REGION]->(r) RETURN x.n_name AS n", {}, "SELECT n_name AS n FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)"),
 }
+#: the same over all customers
+for _name, _cypher, _sql in (("chain_3", " WHERE c.c_custkey < 20", " WHERE o_custkey < 20"), ("cycle_close", " WHERE c.c_custkey < 50", " WHERE c_custkey < 50"), ("named_path", " WHERE c.c_custkey < 10", " WHERE c_custkey < 10")):
+    CASES[f"{_name}_whole"] = (CASES[_name][0].replace(_cypher, ""), {}, CASES[_name][2].replace(_sql, ""))
 
 
 def _query(text: str, params: dict):
