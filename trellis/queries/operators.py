@@ -411,6 +411,23 @@ def rrf_sql(spark, d):
     return search.rrf_outer(search.knn(_vectors(spark, d), _query3(spark, d), 50), _index(spark, d).search(TERMS, 50)).select("id", F.round("score", 9).alias("score"))
 
 
+@query(f"WITH {_VEC}, m AS (SELECT id, label, list_cosine_similarity(v.x, q.x) AS c FROM v, q), a AS (SELECT id, row_number() OVER (ORDER BY c DESC, id) AS r FROM m WHERE label = 0 QUALIFY r <= 20), b AS (SELECT id, row_number() OVER (ORDER BY c DESC, id) AS r FROM m QUALIFY r <= 20), u AS (SELECT id, 2.0 / (60 + r) AS s FROM a UNION ALL SELECT id, 1.0 / (60 + r) FROM b) SELECT id, round(sum(s), 9) AS score FROM u GROUP BY 1 ORDER BY sum(s) DESC, 1 LIMIT 10")
+def multi_vector_rrf(spark, d):
+    v = _vectors(spark, d)
+    return search.multi_vector([(v.where("label = 0"), 2.0), (v, 1.0)], _query3(spark, d)).select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {EVENTS}, {_VEC}, n AS (SELECT DISTINCT CAST(substr(o, 3) AS BIGINT) AS id FROM t WHERE s = 'user:8' AND o IS NOT NULL) SELECT id, round(list_cosine_similarity(v.x, q.x), 6) AS score FROM v SEMI JOIN n USING (id), q ORDER BY list_cosine_similarity(v.x, q.x) DESC, id LIMIT 10")
+def bfs_vector_rerank(spark, d):
+    met = traversal.reach(temporal_edges(spark, d).select("s", F.col("o").alias("o_id")).where("o_id IS NOT NULL"), _seed(spark, "user:8"), 1, 1)
+    return search.rerank_by_vector(met.select(F.substring("node", 3, 20).cast("long").alias("id")), _vectors(spark, d), _query3(spark, d)).select("id", F.round("score", 6).alias("score"))
+
+
+@query("WITH g AS (SELECT 'Part:' || l_partkey AS id, 'Supplier:' || l_suppkey AS o, floor(1000 * (1 - max(l_discount))) AS c FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT id, round(max(c / 1000 + CASE WHEN contains(lower(o), 'supplier:7') THEN 0.5 ELSE 0 END), 6) AS score FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def txt_qualifier(spark, d):
+    return search.text_edges(graph(spark, d).edge_view(["SUPPLIED_BY"]), "supplier:7").select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_BM}, {_VEC}, u AS (SELECT id, 0.75 * list_cosine_similarity(v.x, q.x) AS s FROM v, q UNION ALL SELECT id, 0.25 * score FROM bm) SELECT id, round(sum(s), 6) AS score FROM u GROUP BY 1 ORDER BY sum(s) DESC, 1 LIMIT 10")
 def weighted_fusion(spark, d):
     return search.weighted_fusion([search.knn(_vectors(spark, d), _query3(spark, d), 1_000_000), _index(spark, d).scored(TERMS)], [3, 1]).select("id", F.round("score", 6).alias("score"))
