@@ -53,6 +53,32 @@ def test_members_that_miss_the_first_centre_are_linked(spark):
     assert {r.doc_id: r.component_id for r in N.near_duplicates(df, 3, 85, bands=24, rows=6).collect()} == brute.components(rows, 3, 85)
 
 
+def test_a_family_of_copies_with_edits_of_their_own(spark):
+    """Copies at every distance from one text: some linked with it, some only with each other, some with a far relative."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        t = list(base)
+        for _ in range(rng.randrange(1, 16)):
+            t[rng.randrange(120)] = f"e{i}x{rng.random()}"
+        rows.append((2 * i, " ".join(t)))
+        if i % 5 == 0:  # a relative that has most of these edits
+            t[rng.randrange(120)] = f"r{i}"
+            rows.append((2 * i + 1, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent, how in ((3, 85, {}), (5, 80, {}), (2, 60, {"bands": 48, "rows": 3})):  # bands that miss no pair of that likeness
+        assert {r.doc_id: r.component_id for r in N.near_duplicates(df, k, percent, **how).collect()} == brute.components(rows, k, percent)
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    rows = [("b", "a b c d e f", 1), ("a", "a b c d e f", 2), ("c", "x y z", 3), ("c", " ", 4), ("d", "other words", 5), ("d", None, 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _gone int")
+    assert sorted({(r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df).collect()}) == [("a", "a", True), ("b", "a", False), ("c", "c", True), ("d", "d", True)]
+    kept = N.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r["_gone"] for r in kept.collect()) == [2, 3, 4, 5, 6]
+
+
 def test_densification_keeps_similarity(spark):
     a, b = "one two three four", "one two three four five six"
     got = N.sketches(spark.createDataFrame([(1, a), (2, a), (3, b)], "doc_id long, text string"), 3, N.BANDS, N.ROWS, "doc_id", "text").collect()

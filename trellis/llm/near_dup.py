@@ -4,15 +4,24 @@
    permutation, empty bins filled from bins drawn by a hash of (bin, attempt), the same for all documents (optimal
    densification). `rows` bins make a band.
 2. Documents with equal sets are one class, whose smallest id goes on; copies need no pairs.
-3. The members of a bucket (equal band) are linked to one centre, so that pairs grow with members, not their square.
-   Links are confirmed on full shingle sets, and linked documents become components. A centre that has met all members
-   leaves the bucket. Buckets whose members still lie in several components get further centres, four times as many in
-   each round, until each has one component or has had all its members for centres; so no pair of a bucket is left out
-   that could join two components, and none within a component is made.
-4. Components spread the smallest id by joins with pointer jumping; nothing is gathered in one place.
+3. The members of a bucket (equal band) are compared with one centre, so that pairs grow with members, not their square.
+   The centre is the member whose buckets are largest, most often the text that the others were made from; so buckets of
+   one family have one centre, and their members are one group. Links are confirmed on full shingle sets, and linked
+   documents become components.
+4. In a group that still holds several components, further links are found by what members differ in. With the centre's
+   set C, let d(x) be the symmetric difference of x and C, and p the percentage. Then x and y are linked just if
+
+       |d(x) & d(y)| >= (u(x) + u(y)) / 2,   u(x) = |d(x)| - |x| * (100 - p) / (100 + p),
+
+   as |d(x) ^ d(y)| = |x ^ y|. One of two documents of different components is not linked with the centre, so its u is
+   above |C| * (100 - p) / (100 + p), and about half of d(x) has to be in d(y). Differences are joined by a prefix filter
+   with the group's rarest elements first: edits of one document alone, which are most of them, join with nothing. Every
+   pair of a group that could join two components is found so, exactly; none within a component is made.
+5. Components spread the smallest id by joins with pointer jumping; nothing is gathered in one place.
 
 Null or blank texts have empty sets and are linked with nothing, as are rows with a null id (their component is null).
-Rows that share an id are one document; so any text of it links it. Ties go to the smaller id. Extra columns are kept.
+Rows that share an id are one document; so any text of it links it. Ties go to the smaller id, in the order of its type,
+which may be any that Spark orders. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm import words as W
@@ -30,7 +39,7 @@ from trellis.storage import Scratch
 BANDS, ROWS = 24, 6
 #: copies of a row that a join on a possibly hot class is dealt over
 SALTS = 16
-_SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
+_SKETCH = "doc_id {id}, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
 def _donors(bins: int, attempts: int = 256) -> np.ndarray:
@@ -84,7 +93,8 @@ def sketches(documents: DataFrame, k: int, bands: int, rows: int, doc_id: str, t
                 keys.append(W.mix((found.reshape(bands, rows) * W.GRAM[:rows]).sum(1) + salt).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set1", "set2", "bands"])
 
-    return documents.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SKETCH)
+    kind = documents.schema[doc_id].dataType.simpleString()
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _SKETCH.format(id=kind))
 
 
 def of_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -101,34 +111,36 @@ def of_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return near.where(byte.bitwiseAND(F.expr("shiftleft(1, at & 7)")) != 0).select("id", "text").join(ids, "id")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, documents: DataFrame, k: int, differences: bool = False) -> DataFrame:
+    """The pairs (a, b, ..) with the sizes a_n and b_n of their full shingle sets, sums a_t and b_t that tell sets apart,
+    `both`, the number of shingles that both have, and where asked `d`, the shingles that only one of them has. Ids with
+    several texts give a row for each two texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
         for batch in batches:
             first, second = batch.column("text_a"), batch.column("text_b")
             held = {}
             for column in (first, second):
-                codes = column.dictionary_encode()
-                fresh = [t for t in codes.dictionary.to_pylist() if t not in known and t not in held]
+                fresh = [t for t in column.dictionary_encode().dictionary.to_pylist() if t not in held]
                 for row, s in shingle_sets(pa.array(fresh, pa.large_string()), k):
                     held[fresh[row]] = s
-            good = np.zeros(len(batch), bool)
+            out, apart = np.zeros((5, len(batch)), np.int64), []
             for r, (x, y) in enumerate(zip(first.to_pylist(), second.to_pylist(), strict=True)):
-                p, q = held[x] if x in held else known[x], held[y] if y in held else known[y]
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    good[r] = 100 * common >= percent * (len(p) + len(q) - common)
-            known = {}
-            keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
-
+                p, q = held[x], held[y]
+                merged = np.concatenate([p, q])
+                merged.sort()
+                again = merged[1:] == merged[:-1]
+                out[:, r] = len(p), len(q), p.sum().view(np.int64), q.sum().view(np.int64), again.sum()
+                if differences:
+                    apart.append(merged[~(np.append(again, False) | np.insert(again, 0, False))].view(np.int64))
+            extra = [pa.array(apart, pa.list_(pa.int64()))] if differences else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *map(pa.array, out), *extra], names=[*names, *added])
+
+    names, added = pairs.columns, ["a_n", "b_n", "a_t", "b_t", "both", *(["d"] if differences else [])]
     texts = of_ids(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    made = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema), *(f"{n} {'array<long>' if n == 'd' else 'long'}" for n in added)])
+    return pairs.join(one, "a").join(two, "b").select(*names, "text_a", "text_b").mapInArrow(run, made)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -148,8 +160,46 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return label
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _linked(percent: int) -> Column:
+    both = F.col("both")
+    return (both > 0) & (100 * both >= percent * (F.col("a_n") + F.col("b_n") - both))
+
+
+def groups(headed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): each document b that shares a bucket with others, with the centre a of that bucket."""
+    member = headed.where("bands IS NOT NULL").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket", "m")
+    shared = scratch.table(member.join(sizes, "bucket"), "shared")
+    weight = shared.groupBy("id").agg(F.sum("m").alias("weight"))
+    order = F.struct("weight", F.xxhash64("id").alias("by"), "id")
+    centres = shared.join(weight, "id").groupBy("bucket").agg(F.max(order).alias("c")).select("bucket", F.col("c.id").alias("a"))
+    return shared.join(centres, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def across(met: DataFrame, label: DataFrame, documents: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members of one group and different components that have enough differences from the group's centre
+    in common by the prefix filter; a superset of those that are linked, and few others."""
+    own = met.select("a", "b").distinct().union(met.select("a", F.col("a")).distinct())
+    own = own.join(label.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    kinds = own.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("centre")).where("low <> high").select("a", "centre")
+    open_ = scratch.table(own.where("a <> b").join(kinds, "a").select("a", "b", "component", (F.col("component") != F.col("centre")).alias("out")), "open")
+    over, under = 100 + percent, 100 - percent
+    s = F.col("a_n") + F.col("b_n") - 2 * F.col("both")
+    # a group is a centre with one text, a member is an id with one text
+    element = compared(open_, documents, k, True).select(F.struct("a", "a_t").alias("group"), F.struct("b", "b_t").alias("member"), "component", "out", "a_n", s.alias("s"), (over * s - under * F.col("b_n")).alias("u"), F.explode("d").alias("e"))
+    element = scratch.table(element, "differences")
+    # an element of one component alone is shared by no pair that matters
+    often = element.groupBy("group", "e").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group", "e", "f")
+    of_one = Window.partitionBy("group", "member")
+    placed = element.join(often, ["group", "e"]).withColumn("p", F.col("s") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("f", "e")))
+    # what u of any partner is above: for members of the centre's component, u of one that is not linked with the centre
+    other = F.when(F.col("out"), 2 * percent - under * F.col("a_n")).otherwise(under * F.col("a_n"))
+    placed = placed.where((F.col("p") - 1 - F.col("s")) * (2 * over) + F.col("u") + other <= 0)
+    placed = scratch.table(placed.select("group", "e", "member", "component", "out", "s", "u", "p"), "prefixes")
+    x, y = placed.where("out"), placed.select("group", "e", *(F.col(c).alias(f"y_{c}") for c in ("member", "component", "out", "s", "u", "p")))
+    least = F.greatest(F.lit(1), F.ceil((F.col("u") + F.col("y_u")) / (2.0 * over)))
+    fits = (F.col("component") != F.col("y_component")) & (~F.col("y_out") | (F.col("member") < F.col("y_member"))) & (F.col("p") + least <= F.col("s") + 1) & (F.col("y_p") + least <= F.col("y_s") + 1)
+    return x.join(y, ["group", "e"]).where(fits).select(F.col("member.b").alias("a"), F.col("y_member.b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,53 +212,26 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     salted = sketch.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     headed = salted.join(copies, [*sets, "salt"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "doc_id")).otherwise(F.col("doc_id")).alias("head"), "bands")
     headed = scratch.table(headed.withColumn("bands", F.when((F.col("head") == F.col("doc_id")) & (F.col("n_shingles") > 0), F.col("bands"))), "headed")
-
-    member = headed.where("bands IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    order = lambda r: F.struct(F.xxhash64(F.col("id"), F.lit(r)).alias("by"), "id", "n")
-    centres = scratch.table(member.groupBy("bucket").agg(F.min(order(0)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket", F.col("c.id").alias("c"), F.col("c.n").alias("c_n")), "centres")
-    shared = scratch.table(member.join(centres, "bucket"), "shared")
-    own = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    own = scratch.table(of_ids(own, shared.select("id").distinct()), "texts")  # all that is ever compared
-
-    def star(df: DataFrame) -> DataFrame:
-        return df.where((F.col("id") != F.col("c")) & _fits(F.col("n"), F.col("c_n"), percent)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-
-    tried = scratch.table(star(shared), "pairs")
-    label = components(scratch.table(confirmed(tried, own, k, percent).distinct(), "links"), scratch)
-    spread = shared.where("id <> c").select("id", "n", "bucket")  # a centre has met all members, and leaves
-    r = 0
-    while True:
-        r += 1
-        now = spread.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = now.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "m")
-        # four times as many centres each round: after log4(m) rounds every member has been one
-        drawn = F.pmod(F.xxhash64(F.col("id"), F.lit(r)), F.lit(1 << 20)) * F.col("m") < F.lit((1 << 20) * 4**r)
-        spread = scratch.table(now.join(several, "bucket").withColumn("is_centre", drawn).drop("m"), "spread")  # only buckets that still hold several components
-        if spread.isEmpty():
-            break
-        centre = spread.where("is_centre").select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_component"))
-        pairs = scratch.table(star(spread.join(centre, "bucket").where("component <> c_component")).join(tried, ["a", "b"], "left_anti"), "pairs")
-        spread = spread.where("NOT is_centre").select("id", "n", "bucket")
-        if pairs.isEmpty():
-            continue
-        more = scratch.table(confirmed(pairs, own, k, percent).distinct(), "links")
-        tried = tried.union(pairs)
-        if more.isEmpty():
-            continue
-        # only what reaches across components matters from here on: link the components themselves
-        old = label
-        at = lambda c, old=old: old.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
-        across = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")).where("a <> b")
-        joint = components(scratch.table(across, "across"), scratch)
-        heads = old.select("id", "component").union(more.select(F.col("a"), F.col("a")).union(more.select("b", "b")).toDF("id", "component").join(old, "id", "left_anti").distinct())
-        renamed = joint.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        label = scratch.table(heads.join(renamed, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "label")
-    named = label.select(F.col("id").alias("head"), "component")
+    scratch.drop(sketch)
+
+    pairs = scratch.table(groups(headed, scratch), "pairs")
+    own = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    own = scratch.table(of_ids(own, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")  # all that is ever compared
+    met = scratch.table(compared(pairs, own, k), "met")
+    first = components(scratch.table(met.where(_linked(percent)).select("a", "b").distinct(), "links"), scratch)
+    pairs = scratch.table(across(met, first, own, k, percent, scratch), "pairs")
+    more = scratch.table(compared(pairs, own, k).where(_linked(percent)).select("a", "b").distinct(), "links")
+    # these link components, so the components are what is joined
+    at = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    between = more.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    joint = components(scratch.table(between, "across"), scratch).select(F.col("id").alias("component_id"), F.col("component").alias("to"))
+    named = first.select(F.col("id").alias("head"), "component")
     out = headed.select("doc_id", "n_shingles", "head").join(named, "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
+    out = out.join(joint, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("to", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """The documents that are kept, with their columns. Of rows that share a kept id, all stay."""
-    gone = near_duplicates(documents, k, percent, doc_id=doc_id, text=text, **how).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents[doc_id].cast("long") == gone["_gone"], "left_anti")
+    gone = near_duplicates(documents, k, percent, doc_id=doc_id, text=text, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return documents.alias("own").join(gone.alias("gone"), F.col(f"own.{doc_id}") == F.col("gone.gone_id"), "left_anti")
