@@ -70,6 +70,16 @@ def test_edges(spark):
     assert {r.lang_pred for r in L.identify(df.withColumn("lang", df.lang.substr(1, 0))).collect()} == {"und"}
 
 
+def test_a_language_that_none_was_labelled_with_is_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    strange = [(-1, "".join(chr(0x430 + (i * i * 7 + i // 3) % 32) + (" " if i % 6 == 5 else "") for i in range(400)), None, "x", 1), (-2, "xqz jvk wqx " * 40, None, "x", 1), (-3, "kurz", None, "x", 1)]
+    kept = L.recognised(docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(strange, docs.schema)).where("doc_id > -3 OR text = 'kurz'"), passages=32)
+    left = {r.doc_id for r in kept.select("doc_id").collect()}
+    truth = {r.doc_id for r in docs.where("lang IS NOT NULL AND length(text) > 200").select("doc_id").collect()}
+    assert len(truth - left) <= 0.005 * len(truth)
+    assert -3 in left and not {-1, -2} & left
+
+
 def test_predictions_do_not_see_labels(spark, documents):
     passages = L.learn(documents)
     one = L.identified(documents.select("text", "lang"), passages).select("text", "lang_pred").collect()

@@ -13,6 +13,10 @@ are not learned from, nor are held-out rows (crc32 of the id as text is a multip
 A text that is null or without a letter is `und`, score 0; so is every text if nothing can be learned. The score is the
 margin 1 - fewest / second fewest bits (1 if there is one language). Ties go to the language first in order. Rows are
 judged one by one, so ids may be null or repeated; extra columns are ignored, or kept by `identified`.
+
+`recognised` also asks whether the winner fits at all: as many further labelled passages of each language, which the
+automata do not hold, show how many bits a character its texts take, and a text of `LEAST` letters or more that takes
+over `LOOSE` times the most of these is in no learned language. A language with too few labelled texts has no limit.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ from trellis.llm import words as W
 
 FOLDS, PASSAGES, LENGTH, MOST_LANGUAGES = 5, 64, 400, 200
 BLOCK = 512
+#: characters from which a text's bits a character are evidence, and how far beyond its language's own they may lie
+LEAST, LOOSE = 64, 1.25
+#: parts that the choice of passages is first made in
+SALTS = 16
 #: letters with a class of their own; further ones share SHARED classes by their code point
 OWN, SHARED = 120, 32
 UNKNOWN = "und"
@@ -41,16 +49,24 @@ def held_out(doc_id: str, folds: int = FOLDS) -> Column:
 
 def learn(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = FOLDS, passages: int = PASSAGES, length: int = LENGTH, most_languages: int = MOST_LANGUAGES) -> dict[str, list[str]]:
     """Passages by language."""
+    return {name: found[:passages] for name, found in labelled_passages(documents, doc_id, text, lang, folds, passages, length, most_languages).items()}
+
+
+def labelled_passages(documents: DataFrame, doc_id: str, text: str, lang: str, folds: int, passages: int, length: int, most_languages: int) -> dict[str, list[str]]:
+    """By language, passages of the `passages` distinct texts of least hash, in its order."""
     t, h = F.col("t"), F.col("h")
     labelled = documents.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(doc_id).isNotNull() & ~held_out(doc_id, folds) & F.col(text).rlike(r"\p{L}"))
     labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = labelled.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= passages).select("lang", "h")
+    # first within parts of a language, so that what meets in one task is bounded however many tasks there were
+    chosen = labelled.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):
+        rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("h"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= passages).drop("rank").distinct()
     names = labelled.select("lang").distinct().limit(most_languages + 1).count()
     if names > most_languages:
         raise ValueError(f"more than {most_languages} languages are labelled")
     at = F.lit(1) + F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length(t) - length + 1)).cast("int")
-    found = labelled.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.substring(t, at, F.lit(length)).alias("passage")).dropDuplicates(["lang", "h"])  # languages * passages rows
+    found = labelled.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring(t, at, F.lit(length)).alias("passage")).dropDuplicates(["lang", "h"])  # languages * passages rows
     out: dict[str, list[str]] = {}
     for r in sorted(found.collect()):
         out.setdefault(r.lang, []).append(r.passage)
@@ -167,30 +183,49 @@ class Parser:
             out[:, k] = np.bincount(of, found, len(texts)).astype(np.int64)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        lettered = [t is not None and any(map(str.isalpha, t)) for t in texts]
-        if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        cost = self.phrases([t or "" for t in texts]) * np.array(self.bits)
-        best = cost.argmin(1)
+    def limits(self, further: dict[str, list[str]]) -> np.ndarray:
+        """The most bits a character that a text of each language may take."""
+        out = np.full(len(self.languages), np.inf)
+        for k, name in enumerate(self.languages):
+            if name in further:
+                _, _, bits, sizes = self.judged(further[name])
+                out[k] = LOOSE * bits[sizes >= LEAST].max() if (sizes >= LEAST).any() else np.inf
+        return out
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the place of the winner among the languages, the score, bits a character, characters."""
+        cost, sizes = self.phrases(texts) * np.array(self.bits), self.alphabet.classes(texts)[1]
+        score = np.ones(len(texts))
         if len(self.languages) > 1:
             least = np.partition(cost, 1, axis=1)[:, :2]
-            score = 1 - least[:, 0] / np.maximum(least[:, 1], 1e-9)
-        else:
-            score = np.ones(len(texts))
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, np.clip(score, 0, 1), 0.0)
+            score = np.clip(1 - least[:, 0] / np.maximum(least[:, 1], 1e-9), 0, 1)
+        return cost.argmin(1), score, cost.min(1) / np.maximum(sizes, 1), sizes
+
+    def predict(self, texts: list[str | None], limits: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+        """Languages and scores; with limits, a text beyond that of its language is in none."""
+        lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        best, score, bits, sizes = self.judged([t or "" for t in texts])
+        if limits is not None:
+            lettered &= (sizes < LEAST) | (bits <= limits[best])
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
 
 
 _parsers: dict[int, Parser] = {}
 
 
-def _predicted(texts: pa.Array, passages: dict[str, list[str]], key: int) -> tuple[list[str], list[float]]:
+def _parser(passages: dict[str, list[str]], key: int) -> Parser:
     if key not in _parsers:
         _parsers.clear()
         _parsers[key] = Parser(passages)
+    return _parsers[key]
+
+
+def _predicted(texts: pa.Array, parser: Parser, limits: np.ndarray | None = None) -> tuple[list[str], list[float]]:
     names, scores = [], []
     for i, j, _, _ in W.chunks(texts):
-        a, b = _parsers[key].predict(texts.slice(i, j - i).to_pylist())
+        a, b = parser.predict(texts.slice(i, j - i).to_pylist(), limits)
         names += a
         scores += b.tolist()
     return names, scores
@@ -205,7 +240,7 @@ def identified(documents: DataFrame, passages: dict[str, list[str]], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _predicted(batch.column(at).cast(pa.string()), shared.value, key)
+            names, scores = _predicted(batch.column(at).cast(pa.string()), _parser(shared.value, key))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
@@ -220,10 +255,19 @@ def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return identified(own, passages).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def recognised(documents: DataFrame, least_score: float = 0.0, **names: str) -> DataFrame:
+def recognised(documents: DataFrame, least_score: float = 0.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = FOLDS, passages: int = PASSAGES, length: int = LENGTH, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """The documents in a learned language with at least that score, with their columns."""
-    passages = learn(documents, **names)
-    pred, score = "lang_pred", "score"
-    while {pred, score} & {*documents.columns}:
-        pred, score = pred + "_", score + "_"
-    return identified(documents, passages, names.get("text", "text"), pred, score).where((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score)).drop(pred, score)
+    found = labelled_passages(documents, doc_id, text, lang, folds, 2 * passages, length, most_languages)
+    own, further = ({name: ps[at] for name, ps in found.items()} for at in (slice(passages), slice(passages, None)))
+    shared = documents.sparkSession.sparkContext.broadcast((own, further))
+    at, key = documents.columns.index(text), hash(str(sorted(own.items())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, further = shared.value
+        parser = _parser(own, key)
+        limits = parser.limits(further) if own else None
+        for batch in batches:
+            names, scores = _predicted(batch.column(at).cast(pa.string()), parser, limits)
+            yield batch.filter(pa.array([n != UNKNOWN and x >= least_score for n, x in zip(names, scores, strict=True)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
