@@ -35,7 +35,7 @@ from trellis.llm import words as W
 FOLDS, PASSAGES, LENGTH, MOST_LANGUAGES = 5, 64, 400, 200
 BLOCK = 512
 #: characters from which a text's bits a character are evidence, and how far beyond its language's own they may lie
-LEAST, LOOSE = 64, 1.25
+LEAST, LOOSE = 64, 1.5
 #: parts that the choice of passages is first made in
 SALTS = 16
 #: letters with a class of their own; further ones share SHARED classes by their code point
