@@ -12,6 +12,10 @@ from trellis.queries import ORACLE_SQL, QUERIES
 DIR = os.environ.get("TEST_QUERY_DIR", "/root/testdata/sf0.01")
 
 
+#: queries that ask for what no row can be
+EMPTY = {"where_in_empty"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -22,7 +26,9 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
-    assert of_spark(QUERIES[name](spark, DIR)) == of_duck(duck, ORACLE_SQL[name])
+    want = of_duck(duck, ORACLE_SQL[name])
+    assert of_spark(QUERIES[name](spark, DIR)) == want
+    assert want[1] or name in EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE_SQL.keys()))

@@ -247,14 +247,32 @@ class Planner:
             self.narrow(first)
         bound = first[1] in self.scope or start is not None or not rels
         self.scope[first[1]] = "node"
+        back = None
+        if len(rels) > 3 and nodes[-1][1] == first[1] and name is None and bound:  # a cycle: its last two hops from the other side
+            back, nodes, rels = (nodes[-3:][::-1], [(r, _FLIP[d]) for r, d in rels[-2:][::-1]]), nodes[:-2], rels[:-2]
         for (rel, direction), node in zip(rels, nodes[1:], strict=True):
             self.hop(first, rel, direction, node, bound)
             first, bound = node, True
+        if back:
+            self.meet(*back)
         if name:
             ids = [F.col(f"{n[1]}__id") for n in nodes]
             self.df = self.df.withColumns({f"{name}__nodes": F.array(*ids), f"{name}__rels": F.array(*(F.col(f"{r[1]}__p") for r, _ in rels)) if rels else F.array().cast("array<string>")})
             self.scope[name] = "path"
 
+    def meet(self, nodes: list[tuple], rels: list[tuple]) -> None:
+        """Joins a path between two bound nodes as a whole, from its first node, rather than hop by hop."""
+        start, end = (f"{n[1]}__id" for n in (nodes[0], nodes[-1]))
+        inner = Planner(self.g, self.params, self.df.select(start).distinct(), {nodes[0][1]: "node"})
+        inner.tree, inner.n, at = self.tree, self.n + 1000, nodes[0]
+        for (rel, direction), node in zip(rels, nodes[1:], strict=True):
+            inner.hop(at, rel, direction, node, True)
+            at = node
+        keys = {c: self.fresh("k") for c in (start, end)}
+        other = inner.df.select(*keys, *(c for c in inner.df.columns if c not in self.df.columns)).withColumnsRenamed(keys)
+        self.df = self.df.join(other, reduce(lambda a, b: a & b, (F.col(c) == F.col(k) for c, k in keys.items()))).drop(*keys.values())
+        self.scope |= inner.scope
+
     def narrow(self, node: tuple) -> None:
         """Labels and properties asked of a variable that is bound already."""
         other = ("node", self.fresh("n"), *node[2:])

@@ -9,14 +9,14 @@ from trellis.operators import analytics as A
 from trellis.operators import inference, mutate, paths, search, temporal, traversal
 from trellis.plans.graph import Graph
 from trellis.sources import formats
-from trellis.sources.tables import chain_graph, graph, small_graph, supply_graph, temporal_edges
+from trellis.sources.tables import chain_graph, graph, supply_graph, temporal_edges
 from trellis.storage import read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: edges of the small algorithm graph, and of events, as common table expressions
-SMALL = "e AS (SELECT DISTINCT 'Part:' || l_partkey AS s, 'Supplier:' || l_suppkey AS o FROM lineitem WHERE l_partkey < 60), n AS (SELECT s AS id FROM e UNION SELECT o FROM e), b AS (SELECT s AS u, o AS v FROM e UNION SELECT o, s FROM e)"
+#: edges of parts and suppliers, and of events, as common table expressions
+SUPPLY = "e AS (SELECT DISTINCT 'Part:' || l_partkey AS s, 'Supplier:' || l_suppkey AS o FROM lineitem), n AS (SELECT s AS id FROM e UNION SELECT o FROM e), b AS (SELECT s AS u, o AS v FROM e UNION SELECT o, s FROM e)"
 EVENTS = "t AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts, 'user:' || user_id AS s, event_type AS p, 'k:' || (props ->> '$.k') AS o, value AS w FROM events)"
 EDGES = "g AS (SELECT 'Nation:' || n_nationkey AS s, 'IN_REGION' AS p, 'Region:' || n_regionkey AS o FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'IN_NATION', 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 'Supplier:' || s_suppkey, 'BASED_IN', 'Nation:' || s_nationkey FROM supplier)"
 START, END, NOW = 1_704_067_200, 1_704_153_600, 1_704_153_600
@@ -101,27 +101,21 @@ def random_walk(spark, d):
     return traversal.random_walks(_places(graph(spark, d)), _seed(spark, "Customer:1", "Customer:2"), 4, 3)
 
 
-@query("SELECT 'Customer:' || c_custkey AS src, 'Region:' || n_regionkey AS dst, ['Customer:' || c_custkey, 'Nation:' || n_nationkey, 'Region:' || n_regionkey] AS nodes, ['IN_NATION', 'IN_REGION'] AS rels, 2 AS length FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 20")
+@query("SELECT 'Customer:' || c_custkey AS src, 'Region:' || n_regionkey AS dst, ['Customer:' || c_custkey, 'Nation:' || n_nationkey, 'Region:' || n_regionkey] AS nodes, ['IN_NATION', 'IN_REGION'] AS rels, 2 AS length FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def shortest_path(spark, d):
-    pairs = spark.range(20).select(F.concat(F.lit("Customer:"), "id").alias("src")).crossJoin(spark.range(5).select(F.concat(F.lit("Region:"), "id").alias("dst")))
+    ids = lambda label, name, key: read_table(spark, d, name).select(F.concat(F.lit(f"{label}:"), key))
+    pairs = ids("Customer", "customer", "c_custkey").toDF("src").crossJoin(ids("Region", "region", "r_regionkey").toDF("dst"))
     return paths.shortest(_places(graph(spark, d)), pairs, 4)
 
 
-@query(f"WITH {SMALL} SELECT 'Part:1' AS src, 'Part:2' AS dst, ['Part:1', a.v, 'Part:2'] AS nodes, ['SUPPLIED_BY', 'SUPPLIED_BY'] AS rels, 2 AS length FROM b a JOIN b c ON a.v = c.u WHERE a.u = 'Part:1' AND c.v = 'Part:2'")
+@query(f"WITH {SUPPLY} SELECT 'Part:1' AS src, 'Part:2' AS dst, ['Part:1', a.v, 'Part:2'] AS nodes, ['SUPPLIED_BY', 'SUPPLIED_BY'] AS rels, 2 AS length FROM b a JOIN b c ON a.v = c.u WHERE a.u = 'Part:1' AND c.v = 'Part:2'")
 def all_shortest_paths(spark, d):
-    return paths.shortest(small_graph(spark, d), spark.createDataFrame([("Part:1", "Part:2")], "src string, dst string"), 2, "both", every=True)
-
-
-@query(ORACLE_SQL["shortest_path"].replace(" WHERE c_custkey < 20", ""))
-def shortest_path_whole(spark, d):
-    ids = lambda label, name, key: read_table(spark, d, name).select(F.concat(F.lit(f"{label}:"), key))
-    pairs = ids("Customer", "customer", "c_custkey").toDF("src").crossJoin(ids("Region", "region", "r_regionkey").toDF("dst"))
-    return paths.shortest(_places(graph(spark, d)), pairs, 4)
+    return paths.shortest(supply_graph(spark, d), spark.createDataFrame([("Part:1", "Part:2")], "src string, dst string"), 2, "both", every=True)
 
 
-@query(f"WITH {SMALL}, q AS (SELECT a.u AS p0, a.v AS p1, c.v AS p2, x.v AS p3 FROM b a JOIN b c ON a.v = c.u JOIN b x ON c.v = x.u WHERE a.u = 'Part:1' AND c.v <> a.u AND x.v <> a.v) SELECT p0 AS src, p3 AS dst, [p0, p1, p2, p3] AS nodes, 3 AS length FROM q WHERE p3 = 'Supplier:5' UNION ALL SELECT u, v, [u, v], 1 FROM b WHERE u = 'Part:1' AND v = 'Supplier:5'")
+@query(f"WITH {SUPPLY}, q AS (SELECT a.u AS p0, a.v AS p1, c.v AS p2, x.v AS p3 FROM b a JOIN b c ON a.v = c.u JOIN b x ON c.v = x.u WHERE a.u = 'Part:1' AND c.v <> a.u AND x.v <> a.v) SELECT p0 AS src, p3 AS dst, [p0, p1, p2, p3] AS nodes, 3 AS length FROM q WHERE p3 = 'Supplier:5' UNION ALL SELECT u, v, [u, v], 1 FROM b WHERE u = 'Part:1' AND v = 'Supplier:5'")
 def all_simple_paths(spark, d):
-    return paths.simple(small_graph(spark, d), spark.createDataFrame([("Part:1", "Supplier:5")], "src string, dst string"), 1, 3, "both")
+    return paths.simple(supply_graph(spark, d), spark.createDataFrame([("Part:1", "Supplier:5")], "src string, dst string"), 1, 3, "both")
 
 
 @query("WITH w AS (SELECT o_orderkey AS o, l_partkey AS p, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 GROUP BY 1, 2), z AS (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), c AS (SELECT 'Order:' || o AS node, 1.0 AS cost FROM w UNION ALL SELECT 'Part:' || p, 1 + q FROM w UNION ALL SELECT 'Supplier:' || s, 1 + w.q + z.q FROM w JOIN z ON w.p = z.p UNION ALL SELECT 'Customer:7', 0) SELECT node, CAST(min(cost) AS DOUBLE) AS cost FROM c GROUP BY 1")
@@ -129,15 +123,8 @@ def weighted_path(spark, d):
     return paths.weighted(graph(spark, d).edge_view(["PLACED", "CONTAINS", "SUPPLIED_BY"]), _seed(spark, "Customer:7")).select("node", "cost")
 
 
-@query("SELECT 'Turn:' || conv_id || ':0' AS src, max(turn) AS hops FROM conversations WHERE conv_id < 5 GROUP BY conv_id HAVING max(turn) > 0")
+@query("SELECT 'Turn:' || conv_id || ':0' AS src, max(turn) AS hops FROM conversations GROUP BY conv_id HAVING max(turn) > 0")
 def long_paths(spark, d):
-    g = chain_graph(spark, d)
-    seeds = _seed(spark, *(f"Turn:{i}:0" for i in range(5)))
-    return traversal.reach(g.edges["NEXT"].df, seeds, 1, 500).groupBy("src").agg(F.max("hop").cast("long").alias("hops"))
-
-
-@query(ORACLE_SQL["long_paths"].replace(" WHERE conv_id < 5", ""))
-def long_paths_whole(spark, d):
     seeds = read_table(spark, d, "conversations").select(F.concat(F.lit("Turn:"), "conv_id", F.lit(":0")).alias("src")).distinct()
     return traversal.reach(chain_graph(spark, d).edges["NEXT"].df, seeds, 1, 1_000_000).groupBy("src").agg(F.max("hop").cast("long").alias("hops"))
 
@@ -155,54 +142,50 @@ def degree_centrality(spark, d):
 _PR = _rounds(4, "r{i} AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS v FROM n)", "r{i} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce(sum(r{j}.v / k.k), 0) AS v FROM n LEFT JOIN e ON e.o = n.id LEFT JOIN r{j} ON r{j}.id = e.s LEFT JOIN k ON k.s = e.s GROUP BY n.id)")
 
 
-@query(f"WITH {SMALL}, k AS (SELECT s, count(*) AS k FROM e GROUP BY 1), {_PR} SELECT id, round(v, 9) AS score FROM r4")
+@query(f"WITH {SUPPLY}, k AS (SELECT s, count(*) AS k FROM e GROUP BY 1), {_PR} SELECT id, round(v, 9) AS score FROM r4")
 def pagerank_fixed(spark, d):
-    return A.pagerank(small_graph(spark, d), rounds=4).select("id", F.round("score", 9).alias("score"))
+    return A.pagerank(supply_graph(spark, d), rounds=4).select("id", F.round("score", 9).alias("score"))
 
 
 def _ppr(edges: str) -> str:
     rounds = _rounds(3, "r{i} AS (SELECT 'Part:1' AS id, CAST(1.0 AS DOUBLE) AS v)", "r{i} AS (SELECT n.id, CASE WHEN n.id = 'Part:1' THEN 0.15 ELSE 0 END + 0.85 * coalesce(sum(r{j}.v / k.k), 0) AS v FROM n LEFT JOIN x ON x.o = n.id LEFT JOIN r{j} ON r{j}.id = x.s LEFT JOIN k ON k.s = x.s GROUP BY n.id)")
-    return f"WITH {SMALL}, x AS ({edges}), k AS (SELECT s, count(*) AS k FROM x GROUP BY 1), {rounds} SELECT id, round(v, 9) AS score FROM r3 WHERE v > 0"
+    return f"WITH {SUPPLY}, x AS ({edges}), k AS (SELECT s, count(*) AS k FROM x GROUP BY 1), {rounds} SELECT id, round(v, 9) AS score FROM r3 WHERE v > 0"
 
 
 @query(_ppr("SELECT s, o FROM e"))
 def ppr_fixed(spark, d):
-    return A.personalized_pagerank(small_graph(spark, d), ["Part:1"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score"))
+    return A.personalized_pagerank(supply_graph(spark, d), ["Part:1"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score"))
 
 
 @query(_ppr("SELECT s, o FROM e UNION ALL SELECT o, s FROM e"))
 def ppr_bidirectional(spark, d):
-    return A.personalized_pagerank(small_graph(spark, d), ["Part:1"], rounds=3, tolerance=None, bidirectional=True).select("id", F.round("score", 9).alias("score"))
+    return A.personalized_pagerank(supply_graph(spark, d), ["Part:1"], rounds=3, tolerance=None, bidirectional=True).select("id", F.round("score", 9).alias("score"))
+
 
+#: least labels spread over twice as many rounds as the graph is wide
+_WCC = _rounds(12, "r{i} AS MATERIALIZED (SELECT id, id AS c FROM n)", "r{i} AS MATERIALIZED (SELECT id, min(c) AS c FROM (SELECT id, c FROM r{j} UNION ALL SELECT b.v, c FROM b JOIN r{j} ON b.u = r{j}.id) GROUP BY 1)")
 
-@query(f"WITH RECURSIVE {SMALL}, r(id, c) AS (SELECT id, id FROM n UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id) SELECT id, min(c) AS component FROM r GROUP BY 1")
+
+@query(f"WITH {SUPPLY}, {_WCC} SELECT id, c AS component FROM r12")
 def wcc(spark, d):
-    return A.components(small_graph(spark, d))
+    return A.components(supply_graph(spark, d))
 
 
 _CDLP = _rounds(3, "r{i} AS (SELECT id, id AS c FROM n)", "r{i} AS (SELECT u AS id, c FROM (SELECT u, c, row_number() OVER (PARTITION BY u ORDER BY count(*) DESC, c) AS k FROM b JOIN r{j} ON r{j}.id = b.v GROUP BY u, c) WHERE k = 1)")
 
 
-@query(f"WITH {SMALL}, {_CDLP} SELECT id, c AS label FROM r3")
+@query(f"WITH {SUPPLY}, {_CDLP} SELECT id, c AS label FROM r3")
 def cdlp(spark, d):
-    return A.label_propagation(small_graph(spark, d), 3)
+    return A.label_propagation(supply_graph(spark, d), 3)
 
 
 def _co(spark, d) -> DataFrame:
-    """Suppliers that share a part of a low key."""
-    return _pairs_of(small_graph(spark, d, 12))
-
-
-def _co_whole(spark, d) -> DataFrame:
-    """Suppliers that share any part."""
-    return _pairs_of(supply_graph(spark, d))
-
-
-def _pairs_of(e: DataFrame) -> DataFrame:
+    """Suppliers that share a part."""
+    e = supply_graph(spark, d)
     return e.alias("x").join(e.alias("y"), F.expr("x.s = y.s AND x.o_id < y.o_id")).select(F.col("x.o_id").alias("s"), F.lit("WITH").alias("p"), F.col("y.o_id").alias("o_id"), F.lit(1.0).alias("weight")).distinct()
 
 
-_CO = "f AS (SELECT DISTINCT l_partkey AS p, 'Supplier:' || l_suppkey AS x FROM lineitem WHERE l_partkey < 12), c AS (SELECT DISTINCT a.x AS a, b.x AS b FROM f a JOIN f b USING (p) WHERE a.x < b.x)"
+_CO = "f AS (SELECT DISTINCT l_partkey AS p, 'Supplier:' || l_suppkey AS x FROM lineitem), c AS (SELECT DISTINCT a.x AS a, b.x AS b FROM f a JOIN f b USING (p) WHERE a.x < b.x)"
 
 
 @query(f"WITH {_CO}, t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM c x JOIN c y ON x.b = y.a JOIN c z ON z.a = x.a AND z.b = y.b), m AS (SELECT unnest([i, j, k]) AS id FROM t), q AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM c UNION ALL SELECT b FROM c) GROUP BY 1), s AS (SELECT id, count(*) AS t FROM m GROUP BY 1) SELECT id, coalesce(t, 0) AS triangles, round(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0.0 END, 9) AS lcc FROM q LEFT JOIN s USING (id)")
@@ -215,22 +198,17 @@ def kcore(spark, d):
     return A.k_core(supply_graph(spark, d))
 
 
-@query(f"WITH {_CO} SELECT a AS id, a AS component FROM c UNION SELECT b, b FROM c")
-def scc(spark, d):
-    return A.strong_components(_co(spark, d))
-
-
-@query(f"WITH {SMALL}, h1 AS (SELECT 'Part:1' AS src, v AS node FROM b WHERE u = 'Part:1'), h2 AS (SELECT DISTINCT b.v AS node FROM h1 JOIN b ON b.u = h1.node WHERE b.v <> 'Part:1' EXCEPT SELECT node FROM h1) SELECT 'Part:1' AS id, round(((SELECT count(*) FROM h1) + (SELECT count(*) FROM h2) / 2.0) / ((SELECT count(*) FROM n) - 1), 9) AS score")
+@query(f"WITH {SUPPLY}, h1 AS (SELECT 'Part:1' AS src, v AS node FROM b WHERE u = 'Part:1'), h2 AS (SELECT DISTINCT b.v AS node FROM h1 JOIN b ON b.u = h1.node WHERE b.v <> 'Part:1' EXCEPT SELECT node FROM h1) SELECT 'Part:1' AS id, round(((SELECT count(*) FROM h1) + (SELECT count(*) FROM h2) / 2.0) / ((SELECT count(*) FROM n) - 1), 9) AS score")
 def closeness_sample(spark, d):
-    return A.closeness(small_graph(spark, d), "harmonic", "both", 2, _seed(spark, "Part:1")).select("id", F.round("score", 9).alias("score"))
+    return A.closeness(supply_graph(spark, d), "harmonic", "both", 2, _seed(spark, "Part:1")).select("id", F.round("score", 9).alias("score"))
 
 
 _EIG = _rounds(3, "r{i} AS (SELECT id, 1.0 / (SELECT count(*) FROM n) AS v FROM n)", "y{i} AS (SELECT n.id, coalesce(sum(r{j}.v), 0) AS v FROM n LEFT JOIN b ON b.v = n.id LEFT JOIN r{j} ON r{j}.id = b.u GROUP BY n.id), r{i} AS (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM y{i}) AS v FROM y{i})")
 
 
-@query(f"WITH {SMALL}, {_EIG} SELECT id, round(v, 8) AS score FROM r3")
+@query(f"WITH {SUPPLY}, {_EIG} SELECT id, round(v, 8) AS score FROM r3")
 def eigenvector_fixed(spark, d):
-    e = small_graph(spark, d)
+    e = supply_graph(spark, d)
     return A.eigenvector(e.unionAll(e.select(F.col("o_id").alias("s"), "p", F.col("s").alias("o_id"), "weight")), 3).select("id", F.round("score", 8).alias("score"))
 
 
@@ -241,69 +219,7 @@ def betweenness(spark, d):
 
 @query()
 def leiden(spark, d):
-    return A.communities(_co_whole(spark, d))
-
-
-@query("SELECT DISTINCT a.s AS id FROM (SELECT n_nationkey AS s, n_regionkey AS r FROM nation) a WHERE false")
-def ring_detection(spark, d):
-    e = _co(spark, d).select("s", "o_id")
-    return e.join(e.toDF("b", "c"), F.col("o_id") == F.col("b")).join(e.toDF("x", "y"), (F.col("c") == F.col("x")) & (F.col("y") == F.col("s"))).select(F.col("s").cast("int").alias("id")).distinct()
-
-
-# --- the same over all of lineitem: `SMALL` and `_CO` keep the queries above to parts of a low key
-def _over_all(name: str) -> str:
-    return ORACLE_SQL[name].replace(" WHERE l_partkey < 60", "").replace(" WHERE l_partkey < 12", "")
-
-
-@query(_over_all("all_shortest_paths"))
-def all_shortest_paths_whole(spark, d):
-    return paths.shortest(supply_graph(spark, d), spark.createDataFrame([("Part:1", "Part:2")], "src string, dst string"), 2, "both", every=True)
-
-
-@query(_over_all("all_simple_paths"))
-def all_simple_paths_whole(spark, d):
-    return paths.simple(supply_graph(spark, d), spark.createDataFrame([("Part:1", "Supplier:5")], "src string, dst string"), 1, 3, "both")
-
-
-@query(_over_all("pagerank_fixed"))
-def pagerank_whole(spark, d):
-    return A.pagerank(supply_graph(spark, d), rounds=4).select("id", F.round("score", 9).alias("score"))
-
-
-@query(_over_all("ppr_fixed"))
-def ppr_whole(spark, d):
-    return A.personalized_pagerank(supply_graph(spark, d), ["Part:1"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score"))
-
-
-@query(_over_all("ppr_bidirectional"))
-def ppr_bidirectional_whole(spark, d):
-    return A.personalized_pagerank(supply_graph(spark, d), ["Part:1"], rounds=3, tolerance=None, bidirectional=True).select("id", F.round("score", 9).alias("score"))
-
-
-@query()
-def wcc_whole(spark, d):
-    return A.components(supply_graph(spark, d))
-
-
-@query(_over_all("cdlp"))
-def cdlp_whole(spark, d):
-    return A.label_propagation(supply_graph(spark, d), 3)
-
-
-@query(_over_all("triangles_lcc"))
-def triangles_lcc_whole(spark, d):
-    return A.triangles(_co_whole(spark, d)).select("id", "triangles", F.round("lcc", 9).alias("lcc"))
-
-
-@query(_over_all("closeness_sample"))
-def closeness_whole(spark, d):
-    return A.closeness(supply_graph(spark, d), "harmonic", "both", 2, _seed(spark, "Part:1")).select("id", F.round("score", 9).alias("score"))
-
-
-@query(_over_all("eigenvector_fixed"))
-def eigenvector_whole(spark, d):
-    e = supply_graph(spark, d)
-    return A.eigenvector(e.unionAll(e.select(F.col("o_id").alias("s"), "p", F.col("s").alias("o_id"), "weight")), 3).select("id", F.round("score", 8).alias("score"))
+    return A.communities(_co(spark, d))
 
 
 # --- a directed graph with cycles: from each part of an order to the part of the order's next line
@@ -318,12 +234,12 @@ _NEXT = "c AS (SELECT DISTINCT 'Part:' || a.l_partkey AS a, 'Part:' || b.l_partk
 
 
 @query()
-def scc_whole(spark, d):
+def scc(spark, d):
     return A.strong_components(_next_part(spark, d))
 
 
 @query(f"WITH {_NEXT}, k AS (SELECT a, b FROM c WHERE a <> b), t AS (SELECT x.a AS i, x.b AS j, y.b AS l FROM k x JOIN k y ON x.b = y.a JOIN k z ON z.a = y.b AND z.b = x.a) SELECT DISTINCT unnest([i, j, l]) AS id FROM t")
-def ring_detection_whole(spark, d):
+def ring_detection(spark, d):
     e = _next_part(spark, d).where("s <> o_id").select("s", "o_id")
     wedges = e.join(e.toDF("o_id", "c"), "o_id").select("s", "c").distinct()
     return wedges.join(e.toDF("c", "s"), ["s", "c"], "left_semi").select(F.col("s").alias("id")).distinct()

@@ -25,18 +25,9 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return g
 
 
-def small_graph(spark: SparkSession, sf_dir: str, parts: int = 60) -> DataFrame:
-    """s, p, o_id, weight: parts of a low key, their suppliers, and nations; for iterative algorithms."""
-    return _supply(read_table(spark, sf_dir, "lineitem").where(F.col("l_partkey") < parts))
-
-
 def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s, p, o_id, weight: every part and its suppliers."""
-    return _supply(read_table(spark, sf_dir, "lineitem"))
-
-
-def _supply(item: DataFrame) -> DataFrame:
-    out = item.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("weight"))
+    out = read_table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("weight"))
     return out.select(F.concat(F.lit("Part:"), "l_partkey").alias("s"), F.lit("SUPPLIED_BY").alias("p"), F.concat(F.lit("Supplier:"), "l_suppkey").alias("o_id"), "weight")
 
 
