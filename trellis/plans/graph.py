@@ -41,6 +41,7 @@ class Graph:
     edges: dict[str, EdgeTable] = field(default_factory=dict)
     named: dict[str, Graph] = field(default_factory=dict)
     procedures: dict = field(default_factory=dict)
+    indexes: dict = field(default_factory=dict)
 
     # --- the table bridge
     def map_table(self, label: str, df: DataFrame, id_column: str, prefix: str | None = None, properties: list[str] | None = None) -> Graph:
@@ -98,6 +99,12 @@ class Graph:
 
         return run(self, text, params)
 
+    def update(self, text: str, **params):
+        """Runs statements that change the graph; gives the new version and what the last RETURN gave."""
+        from trellis.plans.updates import update
+
+        return update(self, text, params)
+
     def aql(self, text: str, **params) -> DataFrame:
         from trellis.plans.aql import to_cypher
 

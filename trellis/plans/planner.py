@@ -23,11 +23,22 @@ _FLIP = {"out": "in", "in": "out", "both": "both"}
 
 
 def run(graph: Graph, text: str, params: dict | None = None) -> DataFrame:
-    _, name, parts, alls = cypher.parse(text)
+    from trellis.plans import admin
+
+    if admin.asks(text):
+        return admin.run(graph, text, params or {})
+    if cypher.is_mutation(text):
+        raise cypher.CypherError("a text that changes the graph goes to Graph.update, which returns the new version")
+    *before, last = cypher.script(text)
+    for statement in before:  # each is planned, so that what is wrong with it shows; the last one's rows are returned
+        _run_one(graph, statement, params)
+    return _run_one(graph, last, params)
+
+
+def _run_one(graph: Graph, statement: tuple, params: dict | None) -> DataFrame:
+    _, name, parts, alls = statement
     if name is not None:
         graph = graph.named[name]
-    if cypher.is_mutation(text):
-        raise cypher.CypherError("updates go through trellis.operators.mutate")
     frames = [Planner(graph, params or {}).clauses(p) for p in parts]
     out = frames[0]
     for nxt, every in zip(frames[1:], alls, strict=True):
