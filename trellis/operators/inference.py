@@ -23,15 +23,15 @@ def closure(pairs: DataFrame) -> DataFrame:
         all_ = scratch.table(all_.unionAll(new), "pairs")
 
 
-def materialize(triples: DataFrame, rules: str = "rdfs", most: int = 20) -> DataFrame:
-    """s, p, o_id, inferred."""
+def materialize(triples: DataFrame, rules: str = "rdfs") -> DataFrame:
+    """s, p, o_id, inferred; rules are applied until nothing is new, which ends, as no rule makes a new name."""
     scratch = Scratch(triples.sparkSession, "inference")
     base = scratch.table(triples.select("s", "p", "o_id").distinct(), "base")
     all_ = base
     of = lambda p: all_.where(F.col("p") == p).select(F.col("s").alias("a"), F.col("o_id").alias("b"))
     kind = lambda k: all_.where((F.col("p") == TYPE) & (F.col("o_id") == k)).select(F.col("s").alias("p"))
     row = lambda df, s, p, o: df.select(F.col(s).alias("s"), (F.lit(p) if ":" in p else F.col(p)).alias("p"), F.col(o).alias("o_id"))
-    for _ in range(most):
+    while True:
         made = [row(closure(of(SUB_CLASS)), "a", SUB_CLASS, "b"), row(closure(of(SUB_PROPERTY)), "a", SUB_PROPERTY, "b")]
         typed = all_.where(F.col("p") == TYPE)
         made += [
@@ -67,13 +67,13 @@ def retract(triples: DataFrame) -> DataFrame:
 
 def shacl(nodes: DataFrame, label: str, constraints: list[dict]) -> DataFrame:
     """focus, path, constraint of violations; nodes(node_id, labels, props). A constraint has `path` and any of min, max
-    (counts), datatype (a Spark type), in, pattern."""
+    (counts; a property has as many values as `|` divides it into), datatype (a Spark type), in, pattern."""
     focus = nodes.where(F.array_contains("labels", label))
     found = None
     for c in constraints:
         v = F.col("props")[c["path"]]
         tests = {
-            "min": v.isNull() if c.get("min", 0) > 0 else None, "max": v.isNotNull() if c.get("max") == 0 else None,
+            "min": v.isNull() if c.get("min", 0) > 0 else None, "max": F.size(F.split(v, r"\|")) > c["max"] if c.get("max") else v.isNotNull() if c.get("max") == 0 else None,
             "datatype": v.isNotNull() & v.try_cast(c["datatype"]).isNull() if "datatype" in c else None, "in": v.isNotNull() & ~v.isin(*c["in"]) if "in" in c else None, "pattern": v.isNotNull() & ~v.rlike(c["pattern"]) if "pattern" in c else None,
         }
         for name, bad in tests.items():

@@ -167,3 +167,75 @@ def rerank_by_vector(nodes: DataFrame, vectors: DataFrame, query, k: int = 10) -
 def multi_vector(sources: list[tuple[DataFrame, float]], query, k: int = 10, c: int = 60) -> DataFrame:
     """Several vector tables, each to depth 2k, fused."""
     return rrf([knn(v, query, 2 * k) for v, _ in sources], k, c, 2 * k, [w for _, w in sources])
+
+
+def edge_knn(edges: DataFrame, query, k: int = 10, threshold: float | None = None) -> DataFrame:
+    """s, p, o_id, score of the nearest edge embeddings; edges(s, p, o_id, embedding)."""
+    out = edges.select("s", "p", "o_id", cosine(F.col("embedding"), _vector(query)).alias("score")).where("score IS NOT NULL")
+    if threshold is not None:
+        out = out.where(F.col("score") >= threshold)
+    return out.orderBy(F.desc("score"), "s", "p", "o_id").limit(k)
+
+
+#: properties that name an entity, best first
+NAMES = ("name", "title", "label", "description")
+
+
+def search_documents(nodes: DataFrame, query: str, k: int = 10, label: str | None = None, fields: tuple[str, ...] = NAMES) -> DataFrame:
+    """id, score of nodes(node_id, labels, props) whose naming properties have the query."""
+    df = nodes if label is None else nodes.where(F.array_contains("labels", label))
+    return text_like(df.select(F.col("node_id").alias("id"), *(F.col("props")[f].alias(f) for f in fields)), query, k, fields)
+
+
+def entity_names(nodes: DataFrame, ids: DataFrame, fields: tuple[str, ...] = NAMES) -> DataFrame:
+    """id, name: the first naming property that a node has, else its id."""
+    found = nodes.select(F.col("node_id").alias("id"), F.coalesce(*(F.col("props")[f] for f in fields)).alias("name"))
+    return ids.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("name", "id").alias("name"))
+
+
+def search_with_context(nodes: DataFrame, edges: DataFrame, query: str, k: int = 10, **how) -> DataFrame:
+    """id, score, neighbors: hits with the targets of their edges, in order."""
+    hits = search_documents(nodes, query, k, **how)
+    near = edges.join(F.broadcast(hits.select(F.col("id").alias("s"))), "s").groupBy(F.col("s").alias("id")).agg(F.array_sort(F.collect_set("o_id")).alias("neighbors"))
+    return hits.join(near, "id", "left").select("id", "score", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"))
+
+
+def multi_modal(vectors: DataFrame, query, text_hits: DataFrame, edges: DataFrame, k: int = 10, method: str = "rrf", weights: tuple[float, float, float] = (1.0, 1.0, 1.0), confidence: int = 600, top: int = 5) -> DataFrame:
+    """id, score: vectors (3k, at most 100), text, and what the `top` of both lead to by edges of that confidence, fused
+    by ranks or by weights. Ids are strings."""
+    near = knn(vectors.withColumn("id", F.col("id").cast("string")), query, min(3 * k, 100))
+    said = ranked(text_hits.withColumn("id", F.col("id").cast("string")), min(3 * k, 100)).select("id", "score")
+    heads = rrf([near, said], top)
+    conf = F.coalesce(F.get_json_object("qualifiers", "$.confidence").cast("double"), F.lit(1000.0))
+    led = edges.where(conf >= confidence).join(F.broadcast(heads.select(F.col("id").alias("s"), F.col("score").alias("from"))), "s")
+    led = led.groupBy(F.col("o_id").alias("id")).agg(F.max(F.col("from") * conf / 1000).alias("score"))
+    if method == "rrf":
+        return rrf([near, said, led], k, weights=list(weights))
+    return weighted_fusion([near, said, led], list(weights), k)
+
+
+def adaptive(vectors: DataFrame, query, text_hits: DataFrame | None, edges: DataFrame, k: int = 10) -> DataFrame:
+    """Vectors alone where there is no text; else by ranks, text weighing more where it finds fewer than k."""
+    if query is None and text_hits is None:
+        raise ValueError("a vector or a text is needed")
+    if text_hits is None:
+        return knn(vectors.withColumn("id", F.col("id").cast("string")), query, k)
+    if query is None:
+        return ranked(text_hits, k).select(F.col("id").cast("string").alias("id"), "score")
+    few = text_hits.limit(k).count() < k
+    return multi_modal(vectors, query, text_hits, edges, k, weights=(1.0, 2.0 if few else 1.0, 0.5))
+
+
+def vector_graph(vectors: DataFrame, query, edges: DataFrame, k: int = 10, hops: int = 1) -> DataFrame:
+    """id, score: the nearest vectors and what they lead to, by vector similarity alone."""
+    from trellis.operators.traversal import reach
+
+    own = vectors.withColumn("id", F.col("id").cast("string"))
+    near = knn(own, query, k)
+    met = reach(edges, near.select(F.col("id").alias("src")), 0, hops).select(F.col("node").alias("id"))
+    return knn(own.join(met.distinct(), "id", "left_semi"), query, k)
+
+
+def rerank(vectors: DataFrame, query, text_hits: DataFrame, n: int = 10) -> DataFrame:
+    """Both rankings to depth 2n, fused by ranks."""
+    return rrf([knn(vectors, query, 2 * n), text_hits], n, depth=2 * n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.storage import Scratch
@@ -56,7 +56,8 @@ def two_hop(edges: DataFrame) -> DataFrame:
     """(s, paths, nodes): 2-hop paths of each node, and distinct nodes at distance 2 exactly."""
     e = edges.select("s", "o_id").distinct()
     pairs = e.join(e.toDF("m", "t"), F.col("o_id") == F.col("m")).select("s", "t")
-    counts = pairs.groupBy("s").agg(F.count("*").alias("paths"))
+    ways = e.groupBy("s").agg(F.count("*").alias("k")).toDF("o_id", "k")
+    counts = e.join(ways, "o_id").groupBy("s").agg(F.sum("k").alias("paths"))  # from degrees, without making paths
     exact = pairs.where("s <> t").distinct().join(e.toDF("s", "t"), ["s", "t"], "left_anti").groupBy("s").agg(F.count("*").alias("nodes"))
     return counts.join(exact, "s", "left").select("s", "paths", F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"))
 
@@ -99,11 +100,19 @@ def structural_guard(edges: DataFrame, preds: list[str]) -> DataFrame:
 def random_walks(edges: DataFrame, seeds: DataFrame, length: int, walks: int = 1, seed: int = 0) -> DataFrame:
     """(src, walk, step, node): a uniform next neighbour by a hash of the walk, until a sink."""
     scratch = Scratch(edges.sparkSession, "walk")
-    listed = scratch.table(edges.groupBy("s").agg(F.array_sort(F.collect_set("o_id")).alias("to")), "to")
+    # neighbours are numbered from 0 within parts of a node, and parts follow each other, so that a hub is many tasks' work
+    part = edges.select("s", "o_id").distinct().withColumn("part", F.pmod(F.xxhash64("o_id"), F.lit(64)))
+    sizes = part.groupBy("s", "part").agg(F.count("*").alias("n"))
+    of_node = Window.partitionBy("s")
+    upto = sizes.select("s", "part", (F.sum("n").over(of_node.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(of_node).alias("degree"))
+    at = F.row_number().over(Window.partitionBy("s", "part").orderBy("o_id")) - 1
+    numbered = scratch.table(part.withColumn("i", at).join(upto, ["s", "part"]).select("s", (F.col("i") + F.col("before")).alias("i"), "o_id"), "numbered")
+    degree = scratch.table(upto.select("s", "degree").distinct(), "degree")
     now = scratch.table(seeds.select("src", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), F.lit(0).alias("step"), F.col("src").alias("node")), "start")
     out = now
     for i in range(1, length + 1):
-        pick = F.element_at("to", (F.pmod(F.xxhash64("src", "walk", F.lit(i), F.lit(seed)), F.size("to")) + 1).cast("int"))
-        now = scratch.table(now.join(listed, F.col("node") == F.col("s")).select("src", "walk", F.lit(i).alias("step"), pick.alias("node")), f"step{i}")
+        pick = F.pmod(F.xxhash64("src", "walk", F.lit(i), F.lit(seed)), F.col("degree"))
+        drawn = now.join(degree, F.col("node") == F.col("s")).select("src", "walk", "s", pick.alias("i"))
+        now = scratch.table(drawn.join(numbered, ["s", "i"]).select("src", "walk", F.lit(i).alias("step"), F.col("o_id").alias("node")), f"step{i}")
         out = out.unionAll(now)
     return out

@@ -111,6 +111,10 @@ class Graph:
         return self.cypher(to_cypher(text), **params)
 
     def sql(self, text: str) -> DataFrame:
+        """Spark SQL over views `nodes`, `edges` and one for each label and type that has a name SQL can say."""
+        views = {"nodes": self.node_view(), "edges": self.edge_view()} | {k: t.df for k, t in {**self.edges, **self.nodes}.items() if k.isidentifier()}
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
         return self.spark.sql(text)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trellis.queries import operators, patterns
+from trellis.queries import more, operators, patterns
 
-QUERIES = dict(patterns.QUERIES) | operators.QUERIES
-ORACLE_SQL = dict(patterns.ORACLE_SQL) | operators.ORACLE_SQL
+QUERIES = dict(patterns.QUERIES) | operators.QUERIES | more.QUERIES
+ORACLE_SQL = dict(patterns.ORACLE_SQL) | operators.ORACLE_SQL | more.ORACLE_SQL

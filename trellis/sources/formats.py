@@ -39,6 +39,19 @@ def ndjson_lines(nodes: DataFrame | None = None, edges: DataFrame | None = None,
     return out
 
 
+def temporal_lines(edges: DataFrame, start: int | None = None, end: int | None = None, predicate: str | None = None) -> DataFrame:
+    """Temporal edges of a window and type, one JSON line each."""
+    for test in (None if start is None else F.col("ts") >= start, None if end is None else F.col("ts") <= end, None if predicate is None else F.col("p") == predicate):
+        edges = edges if test is None else edges.where(test)
+    return ndjson_lines(temporal=edges)
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: lines that are no JSON object or have no kind that is known."""
+    kind = F.coalesce(F.get_json_object("value", "$.kind"), F.get_json_object("value", "$.type"))
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).where(kind.isNull() | ~kind.isin("node", "edge", "temporal_edge"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
