@@ -59,6 +59,21 @@ def test_any_latin_text(word, byte, counter, encoder, t):
     assert np.frombuffer(encoder.encode(t), "<u4").tolist() == byte.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(["the", "“Hello", "world”", "—", "你好吗", "it’s", "ΣΑΣ'", "é", "e\u0301", " ", "\u0301x", "\u2028", "\u3000", "<|endoftext|>", "x<|startoftext|>", "İı", "'S", "’s"])), max_size=12), st.sampled_from([" ", "", "\n", "  ", "\u00a0", "\t\r"]))
+def test_any_text(word, counter, pieces, by):
+    t = by.join(pieces)
+    assert counter.count(t) == len(word.encode(t, add_special_tokens=False).ids)
+
+
+def test_only_odd_words_go_to_the_library(counter, monkeypatch, word):
+    t = "“quoted” words, and plain ones " * 3000 + "尾"
+    sent = []
+    monkeypatch.setattr(counter, "_odd", lambda chunks: sent.extend(chunks) or len(chunks))
+    counter.count(t)
+    assert {*sent} == {"“quoted”", "尾"}
+
+
 def test_parts_do_not_change_counts(counter, word):
     text = "some words, and 'more' of them; " * 60
     assert "".join(tokens.parts(text, 50)) == text

@@ -36,8 +36,8 @@ TOP, BUCKETS, CLASSES, WINDOW, DIM, HIDDEN = 2048, 64, 24, 2, 12, 24
 #: sync points of the one pass, and words of a shard
 PARTS, SHARD = 4, 1 << 20
 #: words that are trained on at once, and scored at once
-BATCH, SLICE = 1024, 1 << 15
-RATE = 0.3
+BATCH, SLICE = 2048, 1 << 15
+RATE = 0.7
 #: weights are summed as whole multiples of this
 UNIT = 1 << 24
 

@@ -2,7 +2,7 @@
 
 Before any text is read, the driver proves which vocabulary strings come out as one token when encoded alone
 (`tokens.whole_words`). Pre-tokens of texts that are among them count one each; the rest are merged by the library.
-Texts with unusual characters or special strings are counted by the library as a whole, so every count is its own.
+Words with unusual characters or special strings are counted by the library as they are, so every count is its own.
 
 Null is the empty text with no bytes and no tokens. Rows are counted one by one: ids may be null or repeated, and extra
 columns are ignored. What is broadcast is the tokenizer and its proved strings, of the size of the vocabulary.

@@ -1,9 +1,10 @@
 """Counts and ids of public tokenizers, exact by construction and mostly without running the tokenizer.
 
-Texts with an unusual character, where libraries may differ on Unicode, or with a special string go to the tokenizer as
-they are. For word counts, other texts are cut into pre-tokens by Python's `re`, and each distinct one that is not proved
-whole is merged once by the tokenizer and remembered, up to a fixed number of entries. For ids, they are merged by rank,
-after a proof that this gives the tokenizer's ids. The tests hold both against it for all characters below U+0250.
+For word counts, texts are cut into pre-tokens by Python's `re`, and each distinct one that is not proved whole is merged
+once by the tokenizer and remembered, up to a fixed number of entries. Words with an unusual character, where libraries
+may differ on Unicode, or with a special string go to the tokenizer as they are, from white space to white space. For ids,
+texts without these are merged by rank, after a proof that this gives the tokenizer's ids; others go to it as a whole. The
+tests hold both against it for all characters below U+0250, and counts for any text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ UNUSUAL_LOWER = re.compile("[^\x00-įı-ſ]")
 #: how byte-level vocabularies cut texts, for the library that merges by rank
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
+_BLANKS = "\t\n\x0b\x0c\r "
+_BLANK = re.compile(f"[{_BLANKS}]")
 _INNER_SPACE = re.compile(rf"(?<=[^{S}]) (?=[^{S}])")
 
 
@@ -80,32 +83,62 @@ class WordCounter:
     """Token counts under a lower-casing BPE with word ends."""
 
     def __init__(self, spec: str, whole: list[str]) -> None:
-        self.tok, self.whole, self.memo = _tokenizer(spec), frozenset(sys.intern(w) for w in whole), {}
+        self.tok, self.whole = _tokenizer(spec), dict.fromkeys(map(sys.intern, whole), 1)
+        #: tokens of pre-tokens: one for those proved whole, and what merging the others gave
+        self.known, self.odd = dict(self.whole), {}
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
 
-    def _merged(self, words: list[str]) -> int:
-        memo = self.memo
-        fresh = [w for w in {*words} if w not in memo]
-        if fresh:
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-                fresh = [*{*words}]
-            for a in range(0, len(fresh), 10_000):
-                some = fresh[a : a + 10_000]
-                memo |= zip(some, (len(e.ids) for e in self.tok.encode_batch(some, add_special_tokens=False)), strict=True)
-        return sum(map(memo.__getitem__, words))
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[str, int]]:
+        for a in range(0, len(texts), 10_000):
+            some = texts[a : a + 10_000]
+            yield from zip(some, (len(e.ids) for e in self.tok.encode_batch(some, add_special_tokens=False)), strict=True)
 
-    def count(self, text: str) -> int:
-        if UNUSUAL_LOWER.search(text) or self.special and self.special.search(text):
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
+    def _usual(self, text: str) -> int:
         n = 0
         for part in parts(text):
             found = _WORDS.findall(part.lower())
-            rest = [w for w in found if w not in self.whole]
-            n += len(found) - len(rest) + (self._merged(rest) if rest else 0)
+            fresh = {*found}.difference(self.known)
+            if fresh:
+                if len(self.known) + len(fresh) > MEMO:
+                    self.known = dict(self.whole)
+                    fresh = {*found}.difference(self.known)
+                self.known.update(self._encoded([*fresh]))
+            n += sum(map(self.known.__getitem__, found))
         return n
 
+    def _odd(self, chunks: list[str]) -> int:
+        n = 0
+        for c in chunks:
+            if len(c) > 64:
+                n += len(self.tok.encode(c, add_special_tokens=False).ids)
+        short = [c for c in chunks if len(c) <= 64]
+        fresh = {*short}.difference(self.odd)
+        if len(self.odd) + len(fresh) > MEMO:
+            self.odd, fresh = {}, {*short}
+        self.odd.update(self._encoded([*fresh]))
+        return n + sum(map(self.odd.__getitem__, short))
+
+    def count(self, text: str) -> int:
+        """Runs of other characters than ASCII's white space, where the library drops it, are counted one by one if there
+        is anything unusual in them, and only these by the library as they are."""
+        found = UNUSUAL_LOWER.search(text)
+        if found is None and not (self.special and self.special.search(text)):
+            return self._usual(text)
+        n, at, odd = 0, 0, []
+        marks = sorted(m.start() for by in (UNUSUAL_LOWER, self.special) if by for m in by.finditer(text))
+        for mark in marks:
+            if mark < at:
+                continue
+            begin = max(at, 1 + max(text.rfind(c, at, mark) for c in _BLANKS))
+            end = _BLANK.search(text, mark)
+            end = end.start() if end else len(text)
+            if begin > at:
+                n += self._usual(text[at:begin])
+            odd.append(text[begin:end])
+            at = end
+        return n + self._odd(odd) + (self._usual(text[at:]) if at < len(text) else 0)
+
 
 def ranks(spec: str) -> dict[bytes, int] | None:
     """The vocabulary as bytes by id, if merging by rank is proved to give the library's ids; else None.
