@@ -67,11 +67,21 @@ def test_any_text(word, counter, pieces, by):
 
 
 def test_only_odd_words_go_to_the_library(counter, monkeypatch, word):
-    t = "“quoted” words, and plain ones " * 3000 + "尾"
+    t = "“quoted” words,\tplain ones\nand Ωμέγα " * 3000 + "尾"
     sent = []
     monkeypatch.setattr(counter, "_odd", lambda chunks: sent.extend(chunks) or len(chunks))
     counter.count(t)
-    assert {*sent} == {"“quoted”", "尾"}
+    assert {*sent} == {"Ωμέγα"}
+
+
+def test_letters_far_and_marks(counter, word):
+    import re
+
+    found = [chr(c) for c in range(0x400, 0xD800) if re.match(f"[{tokens.FAR_LETTERS}{tokens.MARKS}]", chr(c))]
+    assert len(found) > 30_000
+    for a in range(0, len(found), 50):
+        t = " ".join(f"{c} a{c}b {c}1{c}'s {c.upper()}" for c in found[a : a + 50])
+        assert counter.count(t) == len(word.encode(t, add_special_tokens=False).ids)
 
 
 def test_parts_do_not_change_counts(counter, word):

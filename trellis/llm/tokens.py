@@ -28,15 +28,16 @@ def _class(start: str) -> str:
     return "".join(f"\\u{c:04x}" if c > 127 else re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == start)
 
 
-L, N, S = _class("L"), _class("N"), r"\t\n\x0b\x0c\r \x85\xa0"
+#: letters of Cyrillic, kana, Han and Hangul, and general punctuation: old, and the same in all normal forms that compose
+FAR_LETTERS, MARKS = "\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "\u2010-\u2027\u2030-\u205e\u20ac"
+L, N, S = _class("L") + FAR_LETTERS, _class("N"), r"\t\n\x0b\x0c\r \x85\xa0"
 UNUSUAL = re.compile("[^\x00-ɏ]")
 #: lower case leads out of the range from U+0180 on, and for U+0130
-UNUSUAL_LOWER = re.compile("[^\x00-įı-ſ]")
+UNUSUAL_LOWER = re.compile(f"[^\x00-įı-ſ{FAR_LETTERS}{MARKS}]")
 #: how byte-level vocabularies cut texts, for the library that merges by rank
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
-_BLANKS = "\t\n\x0b\x0c\r "
-_BLANK = re.compile(f"[{_BLANKS}]")
+_BLANKS = "\t\n\x0b\x0c\r"
 _INNER_SPACE = re.compile(rf"(?<=[^{S}]) (?=[^{S}])")
 
 
@@ -120,24 +121,23 @@ class WordCounter:
         return n + sum(map(self.odd.__getitem__, short))
 
     def count(self, text: str) -> int:
-        """Runs of other characters than ASCII's white space, where the library drops it, are counted one by one if there
-        is anything unusual in them, and only these by the library as they are."""
-        found = UNUSUAL_LOWER.search(text)
-        if found is None and not (self.special and self.special.search(text)):
+        """Runs of other characters than ASCII's white space, which the library drops, are apart from each other: those
+        with anything unusual are counted by the library as they are, the rest together."""
+        if UNUSUAL_LOWER.search(text) is None and not (self.special and self.special.search(text)):
             return self._usual(text)
-        n, at, odd = 0, 0, []
-        marks = sorted(m.start() for by in (UNUSUAL_LOWER, self.special) if by for m in by.finditer(text))
-        for mark in marks:
+        for c in _BLANKS:
+            text = text.replace(c, " ")
+        at, odd, usual = 0, [], []
+        for mark in sorted(m.start() for by in (UNUSUAL_LOWER, self.special) if by for m in by.finditer(text)):
             if mark < at:
                 continue
-            begin = max(at, 1 + max(text.rfind(c, at, mark) for c in _BLANKS))
-            end = _BLANK.search(text, mark)
-            end = end.start() if end else len(text)
-            if begin > at:
-                n += self._usual(text[at:begin])
+            begin, end = max(at, text.rfind(" ", at, mark) + 1), text.find(" ", mark)
+            end = len(text) if end < 0 else end
+            usual.append(text[at:begin])
             odd.append(text[begin:end])
             at = end
-        return n + self._odd(odd) + (self._usual(text[at:]) if at < len(text) else 0)
+        usual.append(text[at:])
+        return self._odd(odd) + self._usual(" ".join(usual))
 
 
 def ranks(spec: str) -> dict[bytes, int] | None:
