@@ -75,3 +75,61 @@ def test_site_edges(spark):
     got = S.site_quality(docs, odd).collect()
     assert len(got) == len(rows) and all(np.isfinite(r.p_quality) for r in got)
     assert S.site_quality(docs.limit(0), odd).count() == 0
+
+
+def test_whole_table_against_the_long_way(spark, sf, documents):
+    """Features from strings, the regression by plain gradient steps of Newton, rates by dictionaries."""
+    import re
+    from collections import defaultdict
+
+    from tests.llm import brute
+    from trellis.llm import words as W
+
+    def bucket(word: str) -> int:
+        buf = np.frombuffer(word.encode(), np.uint8)
+        return int(W.hashes(buf, np.array([0]), np.array([len(buf)]))[0]) % S.BUCKETS
+
+    def described(text: str | None) -> list[float]:
+        raw, words = (text or "").encode(), brute.space_words((text or "").translate(brute.LOWER))
+        n, size, out = max(1, len(words)), max(1, len(raw)), [0.0] * S.BUCKETS
+        for w in words:
+            out[bucket(w)] += 1 / n
+        count = lambda chars: sum(raw.count(c.encode()) for c in chars)
+        upper, digits = len(re.findall("[A-Z]", text or "")), len(re.findall("[0-9]", text or ""))
+        return [*out, min(3, count("#*$%&|<>!") / n), upper / size, digits / size, len(set(words)) / n, np.log1p(len(words)) / 10, size / n / 20]
+
+    docs = documents.select("doc_id", "text", "source", "lang").collect()
+    y = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL").collect()}
+    x = {r.doc_id: np.array(described(r.text)) for r in docs}
+    ids = [r.doc_id for r in docs if r.doc_id in y]
+    z = np.stack([x[i] for i in ids])
+    mean, sd = z.mean(0), z.std(0) + 1e-6
+    z, t = np.c_[(z - mean) / sd, np.ones(len(ids))], np.array([y[i] for i in ids])
+    w, ridge = np.zeros(z.shape[1]), np.array([1.0] * (z.shape[1] - 1) + [1e-6])
+    for _ in range(50):  # minimises the ridge loss to the end, however it is got there
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.lstsq((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (t - p) - ridge * w, rcond=None)[0]
+    evidence = {i: float(np.r_[(v - mean) / sd, 1] @ w) for i, v in x.items()}
+    value = {i: y.get(i, 1 / (1 + np.exp(-e))) for i, e in evidence.items()}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r in docs:
+        hosts[r.source].append(value[r.doc_id])
+        paths[r.source, r.lang].append(value[r.doc_id])
+    top = sum(value.values()) / len(value)
+
+    def strength(groups) -> float:
+        got = [((sum(v) / len(v) - above) ** 2 - above * (1 - above) / len(v), above * (1 - above)) for v, above in groups if len(v) > 1]
+        spread = sum(a for a, _ in got) / len(got)
+        return 1e4 if spread <= 1e-9 else min(1e4, max(1.0, sum(b for _, b in got) / len(got) / spread - 1))
+
+    m_host = strength((v, top) for v in hosts.values())
+    m_path = strength((v, (sum(hosts[h]) + m_host * top) / (len(hosts[h]) + m_host)) for (h, _), v in paths.items())
+    base, got = t.mean(), {r.doc_id: r for r in QUERIES["op7_empirical_bayes_quality"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        v = value[r.doc_id]
+        host = (sum(hosts[r.source]) - v + m_host * top) / (len(hosts[r.source]) - 1 + m_host)
+        path = (sum(paths[r.source, r.lang]) - v + m_path * host) / (len(paths[r.source, r.lang]) - 1 + m_path)
+        want = 1 / (1 + np.exp(-(evidence[r.doc_id] - np.log(base / (1 - base)) + np.log(path / (1 - path)))))
+        mine = got[r.doc_id]
+        assert abs(mine.host_rate - host) < 1e-3 and abs(mine.path_rate - path) < 1e-3 and abs(mine.p_quality - want) < 5e-3

@@ -58,10 +58,10 @@ def labelled_passages(documents: DataFrame, doc_id: str, text: str, lang: str, f
     labelled = documents.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(doc_id).isNotNull() & ~held_out(doc_id, folds) & F.col(text).rlike(r"\p{L}"))
     labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     # first within parts of a language, so that what meets in one task is bounded however many tasks there were
-    chosen = labelled.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
+    chosen = labelled.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
     for by in (["lang", "salt"], ["lang"]):
-        rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("h"))
-        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= passages).drop("rank").distinct()
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= passages).drop("rank")
     names = labelled.select("lang").distinct().limit(most_languages + 1).count()
     if names > most_languages:
         raise ValueError(f"more than {most_languages} languages are labelled")
