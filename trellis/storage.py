@@ -11,10 +11,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (tests, local mode)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only in local mode, where that may be unset."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="trellis-"))
     return _own[0]
