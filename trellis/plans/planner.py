@@ -259,8 +259,9 @@ class Planner:
         bound = first[1] in self.scope or start is not None or not rels
         self.scope[first[1]] = "node"
         back = None
-        if len(rels) > 3 and nodes[-1][1] == first[1] and name is None and bound:  # a cycle: its last two hops from the other side
-            back, nodes, rels = (nodes[-3:][::-1], [(r, _FLIP[d]) for r, d in rels[-2:][::-1]]), nodes[:-2], rels[:-2]
+        if len(rels) > 3 and nodes[-1][1] == first[1] and name is None and bound:  # a cycle: both ways, to meet in the middle
+            h = len(rels) // 2
+            back, nodes, rels = (nodes[h:][::-1], [(r, _FLIP[d]) for r, d in rels[h:][::-1]]), nodes[: h + 1], rels[:h]
         for (rel, direction), node in zip(rels, nodes[1:], strict=True):
             self.hop(first, rel, direction, node, bound)
             first, bound = node, True
