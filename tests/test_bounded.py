@@ -5,10 +5,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from trellis.operators import indexes, sampling, traversal
+from trellis.operators import analytics, indexes, sampling, traversal
 from trellis.plans.graph import Graph
 from trellis.plans.procedures import checked
-from trellis.operators import analytics
 
 
 def test_forest_recall(spark, sf):
@@ -71,3 +70,16 @@ def test_index_facade(spark, sf):
     indexes.drop_index(g, "none")
     with pytest.raises(indexes.IndexError_):
         indexes.index(g, "none")
+
+
+def test_estimated_closeness(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(900)}
+    e = spark.createDataFrame(sorted(pairs), "s string, o_id string")
+    exact = {r.id: r.score for r in analytics.closeness(e, "harmonic", "out", 20).collect()}
+    got = {r.id: r.score for r in analytics.closeness_estimated(e, "out", 20, 256).collect()}
+    assert got.keys() == exact.keys()
+    off = [abs(got[k] - exact[k]) / max(exact[k], 0.02) for k in exact]
+    assert sum(off) / len(off) < 0.15

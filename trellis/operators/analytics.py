@@ -1,22 +1,22 @@
 """Graph analytics over edges(s, p, o_id, weight); results have `id` and a score.
 
-Loops are bounded rounds of joins; each round is written to the shared folder. Kernels that walk single sources
-(closeness, betweenness) broadcast the adjacency only below `MOST_EDGES` edges, which is checked, and else run as joins
-keyed by source.
+Loops are bounded rounds of joins; each round is written to the shared folder. What walks from sources (closeness,
+betweenness) runs for all of them at once, as joins keyed by source. Communities alone are found on the driver, for at most
+`MOST_EDGES` edges, which is checked.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators.traversal import reach
 from trellis.storage import Scratch
 
-#: edges that a kernel on one machine may hold
+#: edges that the driver may hold
 MOST_EDGES = 2_000_000
 
 
@@ -216,6 +216,38 @@ def closeness(edges: DataFrame, formula: str = "harmonic", direction: str = "out
     return seeds.select(F.col("src").alias("id")).join(got, "id", "left").select("id", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
+def closeness_estimated(edges: DataFrame, direction: str = "out", hops: int = 10, registers: int = 64, normalized: bool = True) -> DataFrame:
+    """id, score: harmonic closeness of all nodes, from sketches of how many nodes lie within each hop. A node's sketch has
+    `registers` greatest ranks, as rows of their own, so that nothing grows with the number of nodes reached; the error of
+    a count is about 1.04 / sqrt(registers). Neighbours' sketches are merged once a hop, until none changes."""
+    from trellis.operators.traversal import oriented
+
+    scratch = Scratch(edges.sparkSession, "closeness-estimated")
+    step = scratch.table(oriented(edges, direction).where("s <> o_id"), "edges")
+    nodes = scratch.table(_nodes(edges), "nodes")
+    n, h = max(2, nodes.count()), F.xxhash64("id")
+    rank = F.least(F.lit(50), 1 + F.length(F.bin(F.shiftrightunsigned(h, 8))).cast("int") * -1 + 56)  # zeros that lead 56 bits
+    sketch = scratch.table(nodes.select("id", F.pmod(h, F.lit(registers)).alias("r"), rank.alias("v")), "sketch")
+    alpha = 0.7213 / (1 + 1.079 / registers)
+
+    def counted(of: DataFrame) -> DataFrame:
+        of = of.groupBy("id").agg(F.sum(F.pow(F.lit(2.0), -F.col("v"))).alias("z"), F.count("*").alias("k"))
+        raw = alpha * registers**2 / (F.col("z") + (registers - F.col("k")))
+        few = registers * F.log(registers / (registers - F.col("k")))
+        return of.select("id", F.when((raw <= 2.5 * registers) & (F.col("k") < registers), few).otherwise(raw).alias("within"))
+
+    before = scratch.table(counted(sketch).withColumn("score", F.lit(0.0)), "within")
+    for hop in range(1, hops + 1):
+        came = step.join(sketch.withColumnRenamed("id", "o_id"), "o_id").select(F.col("s").alias("id"), "r", "v")
+        grown = scratch.table(sketch.unionAll(came).groupBy("id", "r").agg(F.max("v").alias("v")), "sketch")
+        if grown.join(sketch, ["id", "r", "v"], "left_anti").isEmpty():
+            break
+        sketch = grown
+        more = F.greatest(F.lit(0.0), F.col("now.within") - F.col("was.within")) / hop
+        before = scratch.table(counted(sketch).alias("now").join(before.alias("was"), "id").select("id", "now.within", (F.col("score") + more).alias("score")), "within")
+    return before.select("id", (F.col("score") / (n - 1 if normalized else 1)).alias("score"))
+
+
 def _checked(edges: DataFrame) -> dict[str, list[str]]:
     rows = edges.limit(MOST_EDGES + 1).collect()
     if len(rows) > MOST_EDGES:
@@ -226,48 +258,34 @@ def _checked(edges: DataFrame) -> dict[str, list[str]]:
     return dict(out)
 
 
-def brandes(adjacency: dict[str, list[str]], source: str) -> dict[str, float]:
-    """Dependencies of one source on every node."""
-    order, parents, paths, dist = [], defaultdict(list), defaultdict(float), {source: 0}
-    paths[source], queue = 1.0, deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacency.get(v, ()):
-            if w not in dist:
-                dist[w] = dist[v] + 1
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                paths[w] += paths[v]
-                parents[w].append(v)
-    delta: dict[str, float] = defaultdict(float)
-    for w in reversed(order):
-        for v in parents[w]:
-            delta[v] += paths[v] / paths[w] * (1 + delta[w])
-    delta.pop(source, None)
-    return delta
-
-
 def betweenness(edges: DataFrame, sample: int | None = None, direction: str = "out") -> DataFrame:
-    """id, score: raw sum of dependencies, scaled by n / sample; sources are those of least hash."""
-    e = _pairs(edges) if direction == "out" else _both(_simple(edges)).toDF("s", "o_id")
-    spark, nodes = edges.sparkSession, Scratch(edges.sparkSession, "betweenness").table(_nodes(edges), "nodes")
+    """id, score: raw sum of dependencies, scaled by n / sample; sources are those of least hash.
+
+    All sources go level by level at once, as joins keyed by source and node: numbers of shortest paths on the way out,
+    dependencies on the way back. That is sources * nodes rows; without `sample` every node is a source."""
+    scratch = Scratch(edges.sparkSession, "betweenness")
+    e = scratch.table(_pairs(edges).where("s <> o_id") if direction == "out" else _both(_simple(edges)).toDF("s", "o_id"), "edges")
+    nodes = scratch.table(_nodes(edges), "nodes")
     n = nodes.count()
-    shared = spark.sparkContext.broadcast(_checked(e))
-    chosen = nodes if sample is None or sample >= n else nodes.orderBy(F.xxhash64("id")).limit(sample)
-    scale = n / min(n, sample or n) if n else 1.0
-
-    def run(batches):
-        total: dict[str, float] = defaultdict(float)
-        for pdf in batches:
-            for s in pdf["id"]:
-                for k, v in brandes(shared.value, s).items():
-                    total[k] += v
-        if total:
-            yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=float)})
-
-    part = chosen.repartition(spark.sparkContext.defaultParallelism, "id").mapInPandas(run, "id string, part double").groupBy("id").agg((F.sum("part") * scale).alias("score"))
-    return nodes.join(part, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    chosen = nodes if sample is None or sample >= n else nodes.orderBy(F.xxhash64("id"), "id").limit(sample)
+    levels = [scratch.table(chosen.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(1.0).alias("paths")), "level")]
+    seen = levels[0].select("src", "node")
+    while True:
+        met = levels[-1].join(e, F.col("node") == F.col("s")).groupBy("src", F.col("o_id").alias("node")).agg(F.sum("paths").alias("paths"))
+        new = scratch.table(met.join(seen, ["src", "node"], "left_anti"), "level")
+        if new.isEmpty():
+            break
+        levels.append(new)
+        seen = seen.unionAll(new.select("src", "node"))
+    below, parts = levels[-1].withColumn("share", F.lit(0.0)), []
+    for above in levels[-2:0:-1]:  # the sources themselves get nothing
+        through = below.join(e, F.col("node") == F.col("o_id")).groupBy("src", F.col("s").alias("node")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("through"))
+        below = scratch.table(above.join(through, ["src", "node"], "left").select("src", "node", "paths", F.coalesce(F.col("paths") * F.col("through"), F.lit(0.0)).alias("share")), "share")
+        parts.append(below.select("node", "share"))
+    if not parts:
+        return nodes.withColumn("score", F.lit(0.0))
+    total = reduce(DataFrame.unionAll, parts).groupBy(F.col("node").alias("id")).agg((F.sum("share") * (n / min(n, sample or n))).alias("score"))
+    return nodes.join(total, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def betweenness_neighborhood(edges: DataFrame, seed: str, hops: int = 2, sample: int | None = 200) -> DataFrame:
