@@ -110,6 +110,20 @@ class Graph:
 
         return self.cypher(to_cypher(text), **params)
 
+    def graphql(self, text: str, **variables) -> dict[str, DataFrame]:
+        from trellis.plans.graphql import query
+
+        return query(self, text, **variables)
+
+    def status(self) -> dict:
+        """What the graph has, and what the session is doing for it."""
+        tracker = self.spark.sparkContext.statusTracker()
+        return {"labels": sorted(self.nodes), "types": sorted(self.edges), "named": sorted(self.named), "indexes": {n: i.kind for n, i in self.indexes.items()}, "active_jobs": list(tracker.getActiveJobsIds()), "active_stages": list(tracker.getActiveStageIds())}
+
+    def cancel(self, group: str) -> None:
+        """Ends the jobs that were started under a job group (`SparkContext.setJobGroup`)."""
+        self.spark.sparkContext.cancelJobGroup(group)
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over views `nodes`, `edges` and one for each label and type that has a name SQL can say."""
         views = {"nodes": self.node_view(), "edges": self.edge_view()} | {k: t.df for k, t in {**self.edges, **self.nodes}.items() if k.isidentifier()}

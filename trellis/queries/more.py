@@ -171,6 +171,17 @@ def rrf_sum(spark, d):
     return search.rrf([search.knn(v, q, 100), search.knn(v, q, 100, "dot")], 5).select("id", F.round("score", 9).alias("score"))
 
 
+@query("SELECT 'Region:' || r_regionkey AS id, r_name AS name, list('Nation:' || n_nationkey ORDER BY 'Nation:' || n_nationkey) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def graphql_nested(spark, d):
+    got = graph(spark, d).graphql('query All { Region { id name: r_name nations: in(type: "IN_REGION") { id n_name } } }')["Region"]
+    return got.select("id", "name", F.transform("nations", lambda n: n["id"]).alias("nations"))
+
+
+@query("SELECT 'Customer:' || c_custkey AS id, c_acctbal AS bal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2) ORDER BY c_acctbal, 1 LIMIT 20")
+def graphql_where(spark, d):
+    return graph(spark, d).graphql('{ rich: Customer(where: {c_mktsegment: $seg, c_nationkey: [1, 2]}, orderBy: "c_acctbal", limit: 20) { id bal: c_acctbal } }', seg="BUILDING")["rich"]
+
+
 # --- bounded traversal
 @query(f"WITH {EDGES}, a AS (SELECT DISTINCT s, o FROM g), k AS (SELECT s, count(*) AS k FROM a GROUP BY 1) SELECT a.s, sum(k.k) AS paths FROM a JOIN k ON a.o = k.s GROUP BY 1")
 def two_hop_count(spark, d):
