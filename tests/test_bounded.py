@@ -83,3 +83,27 @@ def test_estimated_closeness(spark):
     assert got.keys() == exact.keys()
     off = [abs(got[k] - exact[k]) / max(exact[k], 0.02) for k in exact]
     assert sum(off) / len(off) < 0.15
+
+
+def test_communities_are_connected_and_as_good_as_planted(spark):
+    import random
+
+    rng = random.Random(7)
+    group = {i: i // 20 for i in range(160)}
+    pairs = sorted({(f"n{a}", f"n{b}") for a in group for b in range(a) if rng.random() < (0.35 if group[a] == group[b] else 0.01)})
+    adjacency = defaultdict(set)
+    for a, b in pairs:
+        adjacency[a].add(b)
+        adjacency[b].add(a)
+    got = {r.id: r.community for r in analytics.communities(spark.createDataFrame(pairs, "s string, o_id string")).collect()}
+    planted = {f"n{i}": g for i, g in group.items() if f"n{i}" in got}
+    assert analytics.modularity(adjacency, got) >= analytics.modularity(adjacency, planted) - 1e-9
+    for c in set(got.values()):
+        mine = {v for v, x in got.items() if x == c}
+        seen, stack = set(), [min(mine)]
+        while stack:
+            v = stack.pop()
+            if v not in seen:
+                seen.add(v)
+                stack += adjacency[v] & mine
+        assert seen == mine

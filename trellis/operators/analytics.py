@@ -303,9 +303,11 @@ def modularity(adjacency: dict[str, set[str]], of: dict[str, int], gamma: float
     return sum(inside[c] / m2 - gamma * (degree[c] / m2) ** 2 for c in degree)
 
 
-def _moves(weights: dict[int, dict[int, float]], size: dict[int, float], gamma: float, total: float) -> dict[int, int]:
-    """Local moving: every node goes to the neighbouring community of most gain until none does."""
-    of, mass = {u: u for u in weights}, dict(size)
+def _moves(weights: dict[int, dict[int, float]], size: dict[int, float], gamma: float, total: float, start: dict[int, int]) -> dict[int, int]:
+    """Local moving from `start`: every node goes to the neighbouring community of most gain until none does."""
+    of, mass = dict(start), defaultdict(float)
+    for u, c in of.items():
+        mass[c] += size[u]
     queue, waiting = deque(sorted(weights)), {*weights}
     while queue:
         u = queue.popleft()
@@ -327,8 +329,38 @@ def _moves(weights: dict[int, dict[int, float]], size: dict[int, float], gamma:
     return of
 
 
+def _refined(weights: dict[int, dict[int, float]], size: dict[int, float], gamma: float, total: float, of: dict[int, int]) -> dict[int, int]:
+    """The refinement of Leiden: within each community nodes start alone, and one that is still alone and well tied to its
+    community joins the part of it that gains most, among parts that are well tied too. So every part is connected."""
+    whole: dict[int, float] = defaultdict(float)
+    for u, c in of.items():
+        whole[c] += size[u]
+    part, mass, alone = {u: u for u in weights}, dict(size), {*weights}
+    inside = {u: sum(w for v, w in vs.items() if v != u and of[v] == of[u]) for u, vs in weights.items()}
+    out = dict(inside)  # ties of each part to the rest of its community
+    tied = lambda p, c: out[p] >= gamma * mass[p] * (whole[c] - mass[p]) / total - 1e-12
+    for u in sorted(weights):
+        c = of[u]
+        if u not in alone or not tied(u, c):
+            continue
+        to: dict[int, float] = defaultdict(float)
+        for v, w in weights[u].items():
+            if v != u and of[v] == c:
+                to[part[v]] += w
+        gains = {p: w - gamma * size[u] * mass[p] / total for p, w in to.items() if p != u and tied(p, c)}
+        best = max(gains, key=lambda p: (round(gains[p], 12), -p), default=None)
+        if best is None or gains[best] <= 0:
+            continue
+        part[u] = best
+        alone -= {u, best}
+        mass[best] += size[u]
+        out[best] += inside[u] - 2 * to[best]
+        mass.pop(u), out.pop(u)
+    return part
+
+
 def _connected(weights: dict[int, dict[int, float]], of: dict[int, int]) -> dict[int, int]:
-    """Splits communities that are not connected inside, as the refinement of Leiden makes sure of."""
+    """Splits communities that are not connected inside, which the last local moving may leave."""
     out: dict[int, int] = {}
     for root in sorted(weights):
         if root in out:
@@ -344,27 +376,34 @@ def _connected(weights: dict[int, dict[int, float]], of: dict[int, int]) -> dict
 
 
 def communities(edges: DataFrame, gamma: float = 1.0, levels: int = 10) -> DataFrame:
-    """id, community, size: modularity communities by local moving and aggregation, each connected; numbered from the
+    """id, community, size: modularity communities by Leiden: local moving, refinement, and aggregation by the refined
+    parts, which start the next level in the communities that they came from. Each is connected; they are numbered from the
     largest. Moves depend on one another, so this runs on the driver, for as many edges as `MOST_EDGES`."""
     adjacency = _checked(_both(_simple(edges)).orderBy("u", "v"))
     names = sorted(adjacency)
     number = {x: i for i, x in enumerate(names)}
     weights = {number[u]: {number[v]: 1.0 for v in vs} for u, vs in adjacency.items()}
     size = {u: float(len(vs)) for u, vs in weights.items()}
-    total, member = sum(size.values()) or 1.0, {i: i for i in weights}
+    total = sum(size.values()) or 1.0
+    node, start = {i: i for i in weights}, {i: i for i in weights}  # the node of this level that each first one is in
+    member = dict(node)
     for _ in range(levels):
-        of = _connected(weights, _moves(weights, size, gamma, total))
+        of = _moves(weights, size, gamma, total, start)
+        member = {i: of[u] for i, u in node.items()}
         if len(set(of.values())) == len(weights):
             break
-        member = {i: of[c] for i, c in member.items()}
+        part = _refined(weights, size, gamma, total, of)
         merged: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
         mass: dict[int, float] = defaultdict(float)
         for u, vs in weights.items():
-            mass[of[u]] += size[u]
-            merged[of[u]]
+            mass[part[u]] += size[u]
+            merged[part[u]]
             for v, w in vs.items():
-                merged[of[u]][of[v]] += w
+                merged[part[u]][part[v]] += w
+        start = {part[u]: of[u] for u in weights}
+        node = {i: part[u] for i, u in node.items()}
         weights, size = {u: dict(vs) for u, vs in merged.items()}, dict(mass)
+    member = _connected({number[u]: {number[v]: 1.0 for v in vs} for u, vs in adjacency.items()}, member)
     groups: dict[int, list[str]] = defaultdict(list)
     for i, c in member.items():
         groups[c].append(names[i])
