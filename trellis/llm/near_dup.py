@@ -157,6 +157,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         label = moved.select("id", "component")
         label._trellis_path = moved._trellis_path
         if done:
+            scratch.drop(both)
             return label
 
 
@@ -199,7 +200,9 @@ def across(met: DataFrame, label: DataFrame, documents: DataFrame, k: int, perce
     x, y = placed.where("out"), placed.select("group", "e", *(F.col(c).alias(f"y_{c}") for c in ("member", "component", "out", "s", "u", "p")))
     least = F.greatest(F.lit(1), F.ceil((F.col("u") + F.col("y_u")) / (2.0 * over)))
     fits = (F.col("component") != F.col("y_component")) & (~F.col("y_out") | (F.col("member") < F.col("y_member"))) & (F.col("p") + least <= F.col("s") + 1) & (F.col("y_p") + least <= F.col("y_s") + 1)
-    return x.join(y, ["group", "e"]).where(fits).select(F.col("member.b").alias("a"), F.col("y_member.b").alias("b")).distinct()
+    found = scratch.table(x.join(y, ["group", "e"]).where(fits).select(F.col("member.b").alias("a"), F.col("y_member.b").alias("b")).distinct(), "pairs")
+    scratch.drop(open_, element, placed)
+    return found
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,12 +222,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     own = scratch.table(of_ids(own, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")  # all that is ever compared
     met = scratch.table(compared(pairs, own, k), "met")
     first = components(scratch.table(met.where(_linked(percent)).select("a", "b").distinct(), "links"), scratch)
-    pairs = scratch.table(across(met, first, own, k, percent, scratch), "pairs")
-    more = scratch.table(compared(pairs, own, k).where(_linked(percent)).select("a", "b").distinct(), "links")
+    further = across(met, first, own, k, percent, scratch)
+    more = scratch.table(compared(further, own, k).where(_linked(percent)).select("a", "b").distinct(), "links")
     # these link components, so the components are what is joined
     at = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
     between = more.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
     joint = components(scratch.table(between, "across"), scratch).select(F.col("id").alias("component_id"), F.col("component").alias("to"))
+    scratch.drop(pairs, own, met, further, more)  # the result reads what is left
     named = first.select(F.col("id").alias("head"), "component")
     out = headed.select("doc_id", "n_shingles", "head").join(named, "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     out = out.join(joint, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("to", "component_id").alias("component_id"))
