@@ -107,3 +107,23 @@ def test_communities_are_connected_and_as_good_as_planted(spark):
                 seen.add(v)
                 stack += adjacency[v] & mine
         assert seen == mine
+
+
+def test_nodes_without_edges(spark):
+    e = spark.createDataFrame([("a", "b")], "s string, o_id string").withColumns({"p": F.lit("X"), "weight": F.lit(1.0)})
+    nodes = spark.createDataFrame([("a",), ("z",)], "id string")
+    assert {r.id: r.component for r in analytics.components(e, nodes).collect()} == {"a": "a", "b": "a", "z": "z"}
+    assert {r.id: r.degree for r in analytics.degree_centrality(e, nodes=nodes).collect()} == {"a": 1, "b": 1, "z": 0}
+    rank = {r.id: r.score for r in analytics.pagerank(e, nodes=nodes).collect()}
+    assert abs(rank["z"] - 0.05) < 1e-9 and len(rank) == 3
+
+
+def test_ndjson_keeps_properties_and_shows_rejects(spark, tmp_path):
+    from trellis.sources import formats
+
+    lines = ['{"kind":"edge","source":"a","predicate":"X","target":"b","properties":{"w":"1"}}', "not json", '{"kind":"odd"}', '{"type":"node","id":"a","labels":["L"],"props":{"k":"v"}}', ""]
+    (tmp_path / "x.ndjson").write_text("\n".join(lines))
+    got = formats.read_ndjson(spark, f"{tmp_path}/x.ndjson", with_properties=True)
+    assert [tuple(r) for r in got["edges"].collect()] == [("a", "X", "b", {"w": "1"})]
+    assert [r.props for r in got["nodes"].collect()] == [{"k": "v"}]
+    assert sorted(r.value for r in formats.rejected_lines(spark, f"{tmp_path}/x.ndjson").collect()) == ["not json", '{"kind":"odd"}']

@@ -24,8 +24,10 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("s", "o_id").distinct()
 
 
-def _nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("s").alias("id")).union(edges.select("o_id")).distinct()
+def _nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Ends of edges, and nodes(id) that may have none."""
+    ends = edges.select(F.col("s").alias("id")).union(edges.select("o_id"))
+    return (ends if nodes is None else ends.union(nodes.select("id"))).distinct()
 
 
 def _simple(edges: DataFrame) -> DataFrame:
@@ -37,11 +39,12 @@ def _both(simple: DataFrame) -> DataFrame:
     return simple.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(simple.select("b", "a"))
 
 
-def degree_centrality(edges: DataFrame, direction: str = "both", predicate: str | None = None) -> DataFrame:
+def degree_centrality(edges: DataFrame, direction: str = "both", predicate: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
     e = edges if predicate is None else edges.where(F.col("p") == predicate)
     ends = {"out": e.select(F.col("s").alias("id")), "in": e.select(F.col("o_id").alias("id")), "both": e.select(F.col("s").alias("id")).unionAll(e.select("o_id"))}[direction]
-    n = _nodes(e).agg(F.count("*").alias("nodes"))
-    degree = _nodes(e).join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    all_ = _nodes(e, nodes)
+    n = all_.agg(F.count("*").alias("nodes"))
+    degree = all_.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return degree.join(F.broadcast(n)).select("id", (F.col("degree") / F.greatest(F.lit(1), F.col("nodes") - 1)).alias("score"), "degree")
 
 
@@ -66,11 +69,11 @@ def _ranked(edges: DataFrame, start: DataFrame, teleport, damping: float, rounds
     return rank
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """id, score: teleport (1-d)/n to all nodes, shares by edge, what sinks hold is not passed on."""
     scratch = Scratch(edges.sparkSession, "pagerank")
     e = scratch.table(_pairs(edges).withColumn("weight", F.lit(1.0)), "edges")
-    nodes = scratch.table(_nodes(e), "nodes")
+    nodes = scratch.table(_nodes(e, nodes), "nodes")
     n = max(1, nodes.count())
     return _ranked(e, nodes.withColumn("score", F.lit(1.0 / n)), nodes.withColumn("teleport", F.lit((1 - damping) / n)), damping, rounds, tolerance, nodes)
 
@@ -107,8 +110,9 @@ def eigenvector(edges: DataFrame, rounds: int = 30, tolerance: float | None = No
     return x
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, component: the least id that is connected, by label spreading with pointer jumping."""
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """id, component: the least id that is connected, by label spreading with pointer jumping. Nodes(id) without an edge
+    are components of their own."""
     scratch = Scratch(edges.sparkSession, "wcc")
     both = scratch.table(edges.select(F.col("s").alias("u"), F.col("o_id").alias("v")).union(edges.select("o_id", "s")).distinct(), "both")
     label = scratch.table(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "label")
@@ -119,7 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = scratch.table(least.join(up, "component").select("id", "old", F.least("component", "up").alias("component")), "label")
         label = moved.select("id", "component")
         if moved.where("old <> component").isEmpty():
-            return label
+            return label if nodes is None else label.unionAll(nodes.select("id").distinct().join(label, "id", "left_anti").select("id", F.col("id").alias("component")))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

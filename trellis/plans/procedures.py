@@ -62,7 +62,7 @@ BOUNDS = {"damping": (0.0, 1.0), "rounds": (1, 10_000), "tolerance": (0.0, 1.0),
 def checked(f, options: dict | None) -> dict:
     """The options, if f knows them all and numbers are within bounds; else a ValueError that says which is wrong."""
     options = options or {}
-    known = [p for p in inspect.signature(f).parameters if p not in ("edges", "seeds", "sources")]
+    known = [p for p in inspect.signature(f).parameters if p not in ("edges", "seeds", "sources", "nodes")]
     for k, v in options.items():
         if k not in known:
             raise ValueError(f"option {k!r} is unknown; there are {', '.join(known)}")
@@ -95,6 +95,8 @@ def _stats(g: Graph) -> DataFrame:
 def _of(f, *cols: str):
     def call(g: Graph, options: dict | None = None) -> DataFrame:
         checked(f, options)
+        if "nodes" in inspect.signature(f).parameters:  # nodes without edges count too
+            options = {**(options or {}), "nodes": g.node_view().select(F.col("node_id").alias("id"))}
         return f(g.edge_view(), **(options or {})).select(*(F.col(c).alias("node" if c == "id" else c) for c in cols))
 
     return call

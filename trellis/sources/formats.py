@@ -14,13 +14,14 @@ _XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
 # --- NDJSON
-def read_ndjson(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """nodes(node_id, labels, props), edges(s, p, o_id), temporal(ts, s, p, o, w, attrs); broken lines are dropped."""
+def read_ndjson(spark: SparkSession, path: str, with_properties: bool = False) -> dict[str, DataFrame]:
+    """nodes(node_id, labels, props), edges(s, p, o_id; with_properties also props), temporal(ts, s, p, o, w, attrs). Lines
+    that are not taken are in `rejected_lines`."""
     rows = spark.read.schema(_LINE).option("mode", "DROPMALFORMED").json(path).withColumn("k", F.coalesce("kind", "type"))
     s, p, o = F.coalesce("source", "s"), F.coalesce("predicate", "p"), F.coalesce("target", "o")
     return {
         "nodes": rows.where("k = 'node'").select(F.col("id").alias("node_id"), F.coalesce("labels", F.array()).alias("labels"), F.coalesce("properties", "props").alias("props")),
-        "edges": rows.where("k = 'edge'").select(s.alias("s"), p.alias("p"), o.alias("o_id")),
+        "edges": rows.where("k = 'edge'").select(s.alias("s"), p.alias("p"), o.alias("o_id"), *([F.coalesce("properties", "props").alias("props")] if with_properties else [])),
         "temporal": rows.where("k = 'temporal_edge'").select(F.col("timestamp").alias("ts"), s.alias("s"), p.alias("p"), o.alias("o"), F.coalesce("weight", F.lit(1.0)).alias("w"), "attrs"),
     }
 
