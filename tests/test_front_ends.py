@@ -77,3 +77,7 @@ def test_nothing_else_imports_the_training_data_part():
     for f in (REPO / "trellis").rglob("*.py"):
         if "llm" not in f.parts:
             assert "trellis.llm" not in f.read_text(encoding="utf-8"), f
+
+
+def test_a_namespace_before_a_known_function(spark):
+    assert Graph(spark).cypher("RETURN some.tools.toUpper('x') AS v").collect()[0].v == "X"

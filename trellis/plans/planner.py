@@ -567,7 +567,8 @@ class Planner:
 
     def function(self, e: tuple, c, local) -> Column:
         _, name, distinct, args = e
-        name = name.removeprefix("ivg.").split(".")[-1] if name.startswith("ivg.") else name
+        last = name.split(".")[-1]  # a namespace before a function that is known here says nothing more
+        name = last if name not in SCALAR and (last in SCALAR or last in AGGREGATES) else name
         first = args[0] if args else None
         var = first[1] if first and first[0] == "var" and not (local and first[1] in local) else None
         kind = self.scope.get(var) if var else None
