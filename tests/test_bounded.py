@@ -127,3 +127,10 @@ def test_ndjson_keeps_properties_and_shows_rejects(spark, tmp_path):
     assert [tuple(r) for r in got["edges"].collect()] == [("a", "X", "b", {"w": "1"})]
     assert [r.props for r in got["nodes"].collect()] == [{"k": "v"}]
     assert sorted(r.value for r in formats.rejected_lines(spark, f"{tmp_path}/x.ndjson").collect()) == ["not json", '{"kind":"odd"}']
+
+
+def test_approximate_counts_are_near(spark, sf):
+    from trellis.queries import QUERIES
+
+    want = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert abs(QUERIES["approx_distinct"](spark, sf).collect()[0].n - want) <= 0.1 * want
