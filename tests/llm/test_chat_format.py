@@ -56,6 +56,24 @@ def test_a_wrong_mask_shows_in_the_digests(spark):
     assert none.count() == 0
 
 
+def test_every_example_holds_its_whole_context(spark):
+    """Each is written out, and all its turns are read back from its own text."""
+    rows = C.prefix_targets(made(spark)).withColumn("turns", C.read_back(F.col("text"))).collect()
+    assert len(rows) == sum(r[2] == "assistant" for r in ROWS)
+    for e in rows:
+        assert [(t.role, t.text) for t in e.turns] == [(a or "", b or "") for _, _, a, b in ordered(e.conv_id)[: e.turn_no + 1]]
+        assert len(e.text) == e.example_end and e.text[e.last_start :] == e.last
+
+
+def test_a_wrong_context_shows_in_the_digests(spark, monkeypatch):
+    right, kept = {r.conv_id: r for r in C.digests(made(spark)).collect()}, C.expanded
+    cut = F.when(F.col("turn_no") > 0, F.regexp_replace("text", r"(?s)^### .*? </turn>\n", "")).otherwise(F.col("text"))
+    monkeypatch.setattr(C, "expanded", lambda m: kept(m).withColumn("text", cut))
+    for r in C.digests(made(spark)).collect():
+        same = r.turns_sha256 == right[r.conv_id].turns_sha256 and r.example_chars == right[r.conv_id].example_chars
+        assert same == (r.conv_id in (2, 3, None))  # no context before a reply
+
+
 def test_a_conversation_of_the_added_id(spark):
     df = spark.createDataFrame([(-7, 0, "assistant", "its own"), (None, 0, "user", "x")], SCHEMA)
     assert sorted((str(r.conv_id), r.n_turns) for r in C.digests(C.segments(C.with_hostile(df))).collect()) == [("-7", 2), ("None", 1)]

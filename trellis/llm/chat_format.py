@@ -9,8 +9,9 @@ that two more follow becomes `\h`, and the `<` of `</turn>` becomes `\l`. Roles
 `role=..`, with `:` as `\c` and a line break as `\n`.
 
 Every turn of the trained role is an example of its own: its context is all of the stream before its text, and only its
-text is trainable. Contexts are prefixes of one stream, so an example is kept as offsets into it (`prefix_targets`) and
-a conversation of n turns takes space n, not n squared; `rendered` writes the texts out.
+text is trainable. `prefix_targets` writes each out whole. Together they are as long as all prefixes of the stream, which
+grows with the square of a conversation's turns; they are made row by row from the one stream, so that what is shuffled
+and stored stays in proportion to it. `digests` are read back from these texts and from nothing else.
 
 Turns are ordered by (turn, role, text), nulls first, so repeated turns have a defined order; null roles and texts count
 as empty, and a null conversation id is an id like any other. Offsets come from sums within blocks of turns and sums
@@ -80,36 +81,52 @@ def segments(conversations: DataFrame, target: str = "assistant", conv_id: str =
     )
 
 
-def prefix_targets(made: DataFrame) -> DataFrame:
-    """One row for each example: its text is the stream up to example_end, its loss mask [loss_start, loss_end). `last` is
-    the segment that ends it and `last_start` where that begins, from which what is trained on can be read."""
+def expanded(made: DataFrame) -> DataFrame:
+    """One row for each example: conv_id, example_no, turn_no, text (the stream up to the end of its reply), its loss mask
+    [loss_start, loss_end), example_end, last_start (where the reply's segment begins), longest (the conversation's last
+    example, which holds all others). One more row for each conversation, with a null example_no and nothing under its
+    mask, has the text that follows the last example, or all if there is none."""
     end = F.col("seg_start") + F.length("segment")
-    return made.where(F.col("example_no").isNotNull()).select("conv_id", "block", "example_no", "turn_no", F.col("text_start").alias("loss_start"), F.col("text_end").alias("loss_end"), end.alias("example_end"), F.col("segment").alias("last"), F.col("seg_start").alias("last_start"))
+    example = F.struct("example_no", "turn_no", F.col("text_start").alias("loss_start"), F.col("text_end").alias("loss_end"), end.alias("example_end"), F.col("seg_start").alias("last_start"))
+    blocks = made.groupBy("conv_id", "block").agg(F.min("turn_no").alias("first"), _joined(F.struct("turn_no", "segment"), "segment").alias("s"), F.collect_list(F.when(F.col("example_no").isNotNull(), example)).alias("e"))
+    streams = blocks.groupBy("conv_id").agg(_joined(F.struct("first", "s"), "s").alias("stream"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    n, none = F.length("stream").cast("long"), F.lit(None).cast("long")
+    rest = F.struct(none.alias("example_no"), none.alias("turn_no"), n.alias("loss_start"), n.alias("loss_end"), n.alias("example_end"), F.coalesce(F.array_max(F.transform("e", lambda x: x["example_end"])), F.lit(0).cast("long")).alias("last_start"))
+    rows = streams.select("conv_id", "stream", F.size("e").alias("examples"), F.explode(F.concat("e", F.array(rest))).alias("x"))
+    begin = F.when(F.col("x.example_no").isNull(), F.col("x.last_start") + 1).otherwise(1).cast("int")
+    return rows.select("conv_id", "x.*", F.substring(F.col("stream"), begin, F.col("x.example_end").cast("int")).alias("text"), (F.col("x.example_no") == F.col("examples") - 1).alias("longest"))
 
 
-def trained_text(examples: DataFrame) -> Column:
-    """Of an example, what lies under its loss mask, read from its last segment."""
-    start = (F.col("loss_start") - F.col("last_start") + 1).cast("int")
-    return unescaped(F.substring(F.col("last"), start, (F.col("loss_end") - F.col("loss_start")).cast("int")))
+def prefix_targets(made: DataFrame) -> DataFrame:
+    """One row for each example, with its text written out, its loss mask [loss_start, loss_end) in code points, and `last`,
+    the segment that ends it, from last_start."""
+    last = F.substring(F.col("text"), (F.col("last_start") + 1).cast("int"), (F.col("example_end") - F.col("last_start")).cast("int"))
+    return expanded(made).where(F.col("example_no").isNotNull()).drop("longest").withColumn("last", last)
 
 
 def rendered(made: DataFrame) -> DataFrame:
-    """The examples with their texts written out. That is as long as all prefixes together, by nature."""
-    examples = prefix_targets(made).withColumnsRenamed({"conv_id": "_c", "turn_no": "_last"})
-    examples = examples.drop("block", "last", "last_start")
-    parts = examples.join(made.select("conv_id", "turn_no", "segment"), F.col("_c").eqNullSafe(F.col("conv_id")) & (F.col("turn_no") <= F.col("_last")))
-    whole = parts.groupBy("_c", "example_no", "loss_start", "loss_end").agg(F.array_sort(F.collect_list(F.struct("turn_no", "segment"))).alias("s"))
-    return whole.select(F.col("_c").alias("conv_id"), "example_no", F.array_join(F.transform("s", lambda x: x["segment"]), "").alias("text"), "loss_start", "loss_end")
-
-
-def read_back(made: DataFrame) -> DataFrame:
-    """One row for each turn, from its segment alone: role and text."""
-    head = F.regexp_extract("segment", r"(?s)^### ([^:]*): ", 1)
-    body = F.substring(F.col("segment"), F.length(head) + len(OPEN) + 3, F.length("segment") - F.length(head) - len(OPEN) - 2 - len(CLOSE))
-    role = F.when(F.startswith(head, F.lit("role=")), unescaped(F.substring(head, 6, F.length(head))))
-    for role_name, shown in KNOWN.items():
-        role = F.when(head == shown, F.lit(role_name)).otherwise(role)
-    return made.select("conv_id", "block", "turn_no", role.alias("role"), unescaped(body).alias("text"), F.length("segment").cast("long").alias("chars"))
+    return prefix_targets(made).select("conv_id", "example_no", "text", "loss_start", "loss_end")
+
+
+def trained_text() -> Column:
+    """Of an example, what lies under its loss mask."""
+    start = (F.col("loss_start") + 1).cast("int")
+    return unescaped(F.substring(F.col("text"), start, (F.col("loss_end") - F.col("loss_start")).cast("int")))
+
+
+def read_back(text: Column) -> Column:
+    """The turns of a formatted text, as an array of (role, text)."""
+    def turn(x: Column) -> Column:
+        head = x["head"]
+        role = F.when(F.startswith(head, F.lit("role=")), unescaped(F.substring(head, F.lit(6), F.length(head))))
+        for role_name, shown in KNOWN.items():
+            role = F.when(head == shown, F.lit(role_name)).otherwise(role)
+        body = F.substring(x["segment"], F.length(head) + len(OPEN) + 3, F.length(x["segment"]))
+        return F.struct(role.alias("role"), unescaped(body).alias("text"))
+
+    parts = F.split(text, CLOSE, -1)  # no text has it, so the last part is what follows the last turn: nothing
+    headed = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda s: F.struct(s.alias("segment"), F.regexp_extract(s, r"(?s)^### ([^:]*): ", 1).alias("head")))
+    return F.transform(headed, turn)
 
 
 def _joined(c: Column, f: str) -> Column:
@@ -117,20 +134,17 @@ def _joined(c: Column, f: str) -> Column:
 
 
 def digests(made: DataFrame) -> DataFrame:
-    """One row for each conversation: turns from what read_back gives, what is trained on from the examples and their
-    masks. Both are joined within blocks before they meet."""
-    turns = read_back(made).groupBy("conv_id", "block").agg(F.min("turn_no").alias("first"), F.count("*").alias("n"), _joined(F.struct("turn_no", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("t")), "t").alias("t"), F.sum("chars").alias("chars"))
-    examples = prefix_targets(made)
-    said = examples.select("conv_id", "block", "example_no", "example_end", trained_text(examples).alias("l"))
-    loss = said.groupBy("conv_id", "block").agg(F.min("example_no").alias("first"), F.count("*").alias("n"), _joined(F.struct("example_no", "l"), "l").alias("l"), F.sum("example_end").alias("chars"))
-    whole = turns.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), _joined(F.struct("first", "t"), "t").alias("t"), F.sum("chars").alias("formatted_chars"))
-    trained = loss.groupBy(F.col("conv_id").alias("_c")).agg(_joined(F.struct("first", "l"), "l").alias("l"), F.sum("n").alias("n_examples"), F.sum("chars").alias("example_chars"))
-    both = whole.join(trained, F.col("conv_id").eqNullSafe(F.col("_c")), "left").withColumn("l", F.coalesce("l", F.lit("")))
-    zero = F.lit(0).cast("long")
-    return both.select(
-        "conv_id", "n_turns", F.sha2("t", 256).alias("turns_sha256"), F.length("l").cast("long").alias("loss_chars"), F.sha2("l", 256).alias("loss_sha256"), "formatted_chars",
-        F.coalesce("n_examples", zero).alias("n_examples"), F.coalesce("example_chars", zero).cast("long").alias("example_chars"),
+    """One row for each conversation: what is trained on from every example and its mask, turns from the longest example,
+    and from the text that no example holds those that follow it."""
+    is_rest = F.col("example_no").isNull()
+    rows = expanded(made).select("conv_id", "example_no", (is_rest | F.col("longest")).alias("told"), F.when(is_rest | F.col("longest"), read_back(F.col("text"))).alias("turns"), F.when(~is_rest, trained_text()).alias("l"), F.length("text").cast("long").alias("chars"))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    rows = rows.select("conv_id", "example_no", "l", "chars", "told", F.size("turns").cast("long").alias("n"), said.alias("t"))
+    whole = rows.groupBy("conv_id").agg(
+        F.sum(F.when(F.col("told"), F.col("n"))).alias("n_turns"), _joined(F.when(F.col("told"), F.struct(is_rest.alias("rest"), "t")), "t").alias("t"), _joined(F.when(~is_rest, F.struct("example_no", "l")), "l").alias("l"),
+        F.sum(F.when(F.col("told"), F.col("chars"))).alias("formatted_chars"), F.count("example_no").alias("n_examples"), F.coalesce(F.sum(F.when(~is_rest, F.col("chars"))), F.lit(0).cast("long")).alias("example_chars"),
     )
+    return whole.select("conv_id", "n_turns", F.sha2("t", 256).alias("turns_sha256"), F.length("l").cast("long").alias("loss_chars"), F.sha2("l", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "example_chars")
 
 
 #: conversation -7, which imitates the control strings
