@@ -1,8 +1,15 @@
+import os
 import random
+from pathlib import Path
+
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from trellis.llm import near_dup as N
+from trellis.llm import words as W
 from trellis.llm.queries import QUERIES
+from trellis.storage import BATCH_BYTES, Scratch
 
 
 def test_query_on_a_whole_table(spark, sf):
@@ -83,3 +90,38 @@ def test_densification_keeps_similarity(spark):
     a, b = "one two three four", "one two three four five six"
     got = N.sketches(spark.createDataFrame([(1, a), (2, a), (3, b)], "doc_id long, text string"), 3, N.BANDS, N.ROWS, "doc_id", "text").collect()
     assert got[0].bands == got[1].bands and all(len(r.bands) == N.BANDS for r in got)
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    """10,000 rows, the default, would be one batch of all these."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, df = spark.conf.get(key, None), spark.range(0, 300, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    got = Scratch(spark, "batches").table(df.mapInArrow(run, "rows long, bytes long")).collect()
+    assert sum(r.rows for r in got) == 300 and max(r.bytes for r in got) < 2 * BATCH_BYTES
+    assert spark.conf.get(key, None) == before
+
+
+def test_only_texts_that_may_go_are_shuffled(spark):
+    """Of ids that are not in the bitmap, texts are kept without an exchange; ids in it by chance are kept after one."""
+    rows = [(i, f"own words of {i} are here and nowhere else {i}", i) for i in range(300)] + [(i, "the same few words for all of these", i) for i in range(300, 310)] + [(None, "null", 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    gone = spark.createDataFrame([(i,) for i in range(301, 310)], "id long")
+    near, may, added = N.marked(df, gone, "doc_id", "left")
+    assert {r.doc_id for r in near.where(may).collect()} >= set(range(301, 310)) and near.where(may).count() < 20
+    kept = N.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(str(r) for r in rows if r[0] is None or r[0] <= 300)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("LeftAnti") == 1
+
+
+def test_free_memory_goes_back():
+    held = [bytes(1000) for _ in range(100_000)]
+    most = int(Path("/proc/self/statm").read_text().split()[1])
+    del held
+    W.release()
+    assert (most - int(Path("/proc/self/statm").read_text().split()[1])) * os.sysconf("SC_PAGE_SIZE") > 50_000_000

@@ -266,8 +266,10 @@ def recognised(documents: DataFrame, least_score: float = 0.0, doc_id: str = "do
         own, further = shared.value
         parser = _parser(own, key)
         limits = parser.limits(further) if own else None
+        W.release()
         for batch in batches:
             names, scores = _predicted(batch.column(at).cast(pa.string()), parser, limits)
             yield batch.filter(pa.array([n != UNKNOWN and x >= least_score for n, x in zip(names, scores, strict=True)], pa.bool_()))
+        W.release()
 
     return documents.mapInArrow(run, documents.schema)

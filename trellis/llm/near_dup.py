@@ -26,6 +26,7 @@ which may be any that Spark orders. Extra columns are kept.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,23 +93,30 @@ def sketches(documents: DataFrame, k: int, bands: int, rows: int, doc_id: str, t
                     found = _densified(found, filled, donors)
                 keys.append(W.mix((found.reshape(bands, rows) * W.GRAM[:rows]).sum(1) + salt).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set1", "set2", "bands"])
+        W.release()
 
     kind = documents.schema[doc_id].dataType.simpleString()
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _SKETCH.format(id=kind))
 
 
+def marked(documents: DataFrame, ids: DataFrame, doc_id: str, how: str) -> tuple[DataFrame, Column, list[str]]:
+    """documents joined with a bitmap of ids(id), a column that is true for every row whose id is among them and for few
+    others, and the names of added columns. The bitmap takes 4 MB, whatever the number of ids, and is broadcast."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 25))
+    part, at = (lambda c: F.shiftright(bit(c), 15).cast("int")), (lambda c: bit(c).bitwiseAND(F.lit(32767)))
+    tag = f"_{uuid.uuid4().hex}"
+    bits = ids.groupBy(part("id").alias(f"{tag}_part")).agg(F.bitmap_construct_agg(at("id")).alias(f"{tag}_bits"))  # 1024 rows of 4 KB
+    near = documents.withColumns({f"{tag}_part": part(F.col(doc_id)), f"{tag}_at": at(F.col(doc_id)).cast("int")}).join(F.broadcast(bits), f"{tag}_part", how)
+    byte = F.conv(F.hex(F.expr(f"substring({tag}_bits, shiftright({tag}_at, 3) + 1, 1)")), 16, 10).cast("int")
+    return near, F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, {tag}_at & 7)")) != 0, F.lit(False)), [f"{tag}_part", f"{tag}_at", f"{tag}_bits"]
+
+
 def of_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of documents(id, text) whose id is among ids(id), which are distinct.
-
-    A bitmap of 4 MB, whatever the number of ids, is broadcast to drop most other rows before texts are shuffled.
-    """
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << 25))
-    part, at = F.shiftright(bit, 15).cast("int"), bit.bitwiseAND(F.lit(32767))
-    bits = ids.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))  # 1024 rows of 4 KB
-    near = documents.withColumns({"part": part, "at": at.cast("int")}).join(F.broadcast(bits), "part")
-    byte = F.conv(F.hex(F.expr("substring(bits, shiftright(at, 3) + 1, 1)")), 16, 10).cast("int")
+    """The rows of documents(id, text) whose id is among ids(id), which are distinct; the bitmap drops most other rows before
+    texts are shuffled."""
+    near, may, _ = marked(documents, ids, "id", "inner")
     # an inner join with distinct ids: a semi-join would be pushed below the bitmap and shuffle every text
-    return near.where(byte.bitwiseAND(F.expr("shiftleft(1, at & 7)")) != 0).select("id", "text").join(ids, "id")
+    return near.where(may).select("id", "text").join(ids, "id")
 
 
 def compared(pairs: DataFrame, documents: DataFrame, k: int, differences: bool = False) -> DataFrame:
@@ -135,6 +143,8 @@ def compared(pairs: DataFrame, documents: DataFrame, k: int, differences: bool =
                     apart.append(merged[~(np.append(again, False) | np.insert(again, 0, False))].view(np.int64))
             extra = [pa.array(apart, pa.list_(pa.int64()))] if differences else []
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *map(pa.array, out), *extra], names=[*names, *added])
+            del first, second, held, fresh, apart, extra
+        W.release()
 
     names, added = pairs.columns, ["a_n", "b_n", "a_t", "b_t", "both", *(["d"] if differences else [])]
     texts = of_ids(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -237,5 +247,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
 
 def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """The documents that are kept, with their columns. Of rows that share a kept id, all stay."""
-    gone = near_duplicates(documents, k, percent, doc_id=doc_id, text=text, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.alias("own").join(gone.alias("gone"), F.col(f"own.{doc_id}") == F.col("gone.gone_id"), "left_anti")
+    scratch = Scratch(documents.sparkSession, "near-dup-gone")
+    gone = scratch.table(near_duplicates(documents, k, percent, doc_id=doc_id, text=text, **how).where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    near, may, added = marked(documents, gone, doc_id, "left")
+    # texts whose id is not in the bitmap stay where they are
+    doubtful = near.where(may).drop(*added).alias("own").join(gone.alias("gone"), F.col(f"own.{doc_id}") == F.col("gone.id"), "left_anti")
+    return near.where(~may).drop(*added).union(doubtful)

@@ -6,6 +6,7 @@ above U+007F are of the same class in both tables below.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -46,6 +47,15 @@ def _tables() -> list[np.ndarray]:
     return _powers
 
 
+def release() -> None:
+    """Gives memory that is free again back to the system. Workers live on between tasks and stages, and would keep the most
+    they ever had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit (murmur's finaliser)."""
     x = x ^ (x >> np.uint64(33))
