@@ -46,6 +46,32 @@ def test_forward_is_the_two_level_softmax():
     assert np.allclose(np.exp(each).sum(0), 1)
 
 
+def test_softmax_takes_one_exponential_of_each_score_unless_it_would_leave_the_range(monkeypatch):
+    """Scores of any size are served; usual ones cost one pass of exponentials in training and in scoring."""
+    rng, at, of = np.random.Generator(np.random.PCG64(4)), np.array([0, 3, 6, 1, 2]), np.arange(5)
+    usual = rng.standard_normal((5, 7)).astype(np.float32)
+    usual[:, 5] = -1e9  # a member that is not there
+    exact = lambda z: z.astype(np.float64) - z.max(1, keepdims=True) - np.log(np.exp(z.astype(np.float64) - z.max(1, keepdims=True)).sum(1, keepdims=True))
+    for z in (usual, usual * 300, usual + 200, usual - 200, usual + np.array([[0], [300], [-300], [80], [-80]], np.float32)):
+        want = exact(z)
+        got = np.exp(want)
+        got[of, at] -= 1
+        assert np.allclose(M._log_share(z.copy(), at), want[of, at], rtol=1e-4, atol=1e-4)
+        assert np.allclose(M._loss_gradient(z.copy(), at, 9), got / 9, rtol=1e-4, atol=1e-6)
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            if name in ("exp", "log"):
+                return lambda x, *a, **k: (calls.append((name, x.size)), getattr(np, name)(x, *a, **k))[1]
+            return getattr(np, name)
+
+    v, net, context, token = small()
+    monkeypatch.setattr(M, "np", Counted())
+    net.gradients(context, token)
+    assert sum(n for name, n in calls if name == "exp") <= len(token) * (v.classes + v.members) and not [n for name, n in calls if name == "log"]
+
+
 def test_gradients_are_those_of_the_loss():
     _, net, context, token = small()
     rows, grads = net.gradients(context, token)

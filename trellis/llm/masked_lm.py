@@ -118,15 +118,18 @@ class Network:
         return x, np.tanh(x @ self.w[1] + self.w[2])
 
     def members(self, h: np.ndarray, cls: int) -> np.ndarray:
-        return _log_softmax(h @ self.w[5][cls] + (self.w[6][cls] + self.absent[cls]))
+        """What the softmax of the members of a class is taken of."""
+        z = h @ self.w[5][cls]
+        z += self.w[6][cls] + self.absent[cls]
+        return z
 
     def log_p(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given what is on both sides."""
         h = self.hidden(context)[1]
         cls, slot = self.v.cls[token], self.v.slot[token]
-        out = _log_softmax(h @ self.w[3] + self.w[4])[np.arange(len(token)), cls]
+        out = _log_share(h @ self.w[3] + self.w[4], cls)
         for c, rows in _by_class(cls):
-            out[rows] += self.members(h[rows], c)[np.arange(len(rows)), slot[rows]]
+            out[rows] += _log_share(self.members(h[rows], c), slot[rows])
         return out
 
     def gradients(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -135,16 +138,12 @@ class Network:
         n = len(token)
         x, h = self.hidden(context)
         cls, slot = self.v.cls[token], self.v.slot[token]
-        dz = np.exp(_log_softmax(h @ self.w[3] + self.w[4]))
-        dz[np.arange(n), cls] -= 1
-        dz /= n
+        dz = _loss_gradient(h @ self.w[3] + self.w[4], cls, n)
         dh = dz @ self.w[3].T
         dm, dm0 = np.zeros_like(self.w[5]), np.zeros_like(self.w[6])
         for c, rows in _by_class(cls):
             own = h[rows]
-            dy = np.exp(self.members(own, c))
-            dy[np.arange(len(rows)), slot[rows]] -= 1
-            dy /= n
+            dy = _loss_gradient(self.members(own, c), slot[rows], n)
             dm[c], dm0[c] = own.T @ dy, dy.sum(0)
             dh[rows] += dy @ self.w[5][c].T
         dh *= 1 - h * h
@@ -166,9 +165,34 @@ class Network:
                 self.w[k] -= rate * grads[k] / np.sqrt(self.sums[k])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+#: sums of exponentials between these have neither lost digits nor come near the end of floats of 32 bits
+LEAST_SUM, MOST_SUM = 1e-20, 1e30
+
+
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - m), its sums by row, and m: 0 where that is safe, which saves passes, or else the most of each row."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e.sum(1)
+    if len(z) and total.min() >= LEAST_SUM and total.max() <= MOST_SUM:
+        return e, total, 0.0
+    most = z.max(1)
+    e = np.exp(z - most[:, None])
+    return e, e.sum(1), most
+
+
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row of z at its place."""
+    _, total, most = _exponentials(z)
+    return z[np.arange(len(at)), at] - most - np.log(total)
+
+
+def _loss_gradient(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The gradient for z of the summed -log softmax at each row's place, over n."""
+    e, total, _ = _exponentials(z)
+    e *= (1 / (total * total.dtype.type(n)))[:, None]
+    e[np.arange(len(at)), at] -= 1 / n
+    return e
 
 
 def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
