@@ -1,6 +1,9 @@
 """What a task, a shuffle or the driver holds does not grow faster than the tables."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from trellis import storage
 from trellis.operators import analytics as A
@@ -37,3 +40,31 @@ def test_shuffles_are_dealt_out_by_the_bytes_read(spark, sf, monkeypatch):
     with storage.many_parts(df):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 10 * int(before)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_counted_matches_are_summed_not_made(spark, written):
+
+    from trellis.plans.graph import EdgeTable, Graph
+
+    n, ident = 20_000, lambda kind: F.concat(F.lit(kind), "id")
+    g = Graph(spark, edges={k: EdgeTable(spark.range(n).select(ident(k).alias("s"), F.concat(F.lit("n"), F.col("id") % 2).alias("o_id"))) for k in "AB"})
+    assert g.cypher("MATCH (a)-[:A]->(n)<-[:B]-(b) RETURN n.id AS n, count(*) AS k ORDER BY n").collect() == [("n0", n * n // 4), ("n1", n * n // 4)]
+    assert max(df.count() for _, _, df in written) <= n
+    assert g.cypher("MATCH (a)-[:A]->(n)<-[:B]-(b) RETURN count(b) AS k").first().k == n * n // 2
+    assert g.cypher("MATCH (a {id: 'none'})-[:A]->(n)<-[:B]-(b) RETURN count(*) AS k").first().k == 0
+
+
+def test_counted_cycle(spark, written):
+    from trellis.plans.graph import EdgeTable, Graph
+
+    one = lambda a, b: EdgeTable(spark.range(600).select(F.concat(F.lit(a), F.col("id") % 20).alias("s"), F.concat(F.lit(b), F.col("id") % 30).alias("o_id")))
+    g = Graph(spark, edges={"X": one("c", "n"), "Y": one("s", "n"), "Z": one("c", "s")})
+    got = {r.c: r.k for r in g.cypher("MATCH (c)-[:X]->(n)<-[:Y]-(s)<-[:Z]-(c) RETURN c.id AS c, count(*) AS k").collect()}
+    x = lambda a, b: [(f"{a}{i % 20}", f"{b}{i % 30}") for i in range(600)]
+    want = Counter()
+    xs, ys, zs = Counter(x("c", "n")), Counter(x("s", "n")), Counter(x("c", "s"))
+    for (c, v), i in xs.items():
+        for (u, w), j in ys.items():
+            if w == v:
+                want[c] += i * j * zs[c, u]
+    assert got == {c: k for c, k in want.items() if k} and any("summed" in name for name, *_ in written)

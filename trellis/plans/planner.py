@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from trellis.functions.scalar import AGGREGATES, SCALAR, aggregate
 from trellis.operators import paths as path_ops
 from trellis.operators import traversal
-from trellis.plans import cypher
+from trellis.plans import cypher, joins
 from trellis.plans.graph import Graph
+from trellis.storage import Scratch
 
 _FLIP = {"out": "in", "in": "out", "both": "both"}
 
@@ -77,9 +78,15 @@ def _aggregates(tree) -> bool:
     return isinstance(tree, tuple | list) and any(map(_aggregates, tree))
 
 
+def _calls(tree) -> bool:
+    """Patterns inside of expressions."""
+    return isinstance(tree, tuple | list) and (tree[:1] in (("exists",), ("pattern",)) or any(map(_calls, tree)))
+
+
 class Planner:
     def __init__(self, graph: Graph, params: dict, df: DataFrame | None = None, scope: dict[str, str] | None = None) -> None:
         self.g, self.params, self.df, self.scope, self.tree, self.n = graph, params, df, dict(scope or {}), None, 0
+        self.times: str | None = None  # a column of how many matches a row stands for
 
     def fresh(self, what: str) -> str:
         self.n += 1
@@ -88,10 +95,11 @@ class Planner:
     # --- clauses
     def clauses(self, parts: list[tuple], keys: list[str] | None = None) -> DataFrame:
         self.tree = parts
-        for clause in parts:
+        for clause, after in zip(parts, [*parts[1:], (None,)], strict=True):
             kind = clause[0]
             if kind == "match":
-                self.match(*clause[1:])
+                if self.df is not None or keys or not self.counted(clause, after):
+                    self.match(*clause[1:])
             elif kind in ("with", "return"):
                 self.project(*clause, keys=keys)
             elif kind == "unwind":
@@ -121,6 +129,50 @@ class Planner:
         if where is not None:
             self.filter(where)
 
+    def counted(self, clause: tuple, after: tuple) -> bool:
+        """Matches hops whose matches are only counted without making them: variables that are not grouped by are summed
+        out one at a time, so that what is joined has one row for each combination of neighbouring variables."""
+        _, optional, paths, where = clause
+        if optional or where is not None or after[0] not in ("with", "return"):
+            return False
+        _, distinct, items, order, *_ = after
+        nodes, rels = [n for p in paths for n in p[2][::2]], [r for p in paths for r in p[2][1::2]]
+        named = {n[1] for n in nodes}
+        plain = all(p[0] is None and p[1] is None for p in paths) and all(r[4] is None for r in rels) and len(rels) > 1 and not _variables([[n[4] for n in nodes], [r[6] for r in rels]])
+        counts = [e[:3] == ("fn", "count", False) and (e[3][0] == ("star",) or e[3][0][0] == "var" and e[3][0][1] in named) for e, _ in items]
+        groups = [e for (e, _), c in zip(items, counts, strict=True) if not c]
+        keep = _variables(groups)
+        if not plain or not any(counts) or any(map(_aggregates, groups)) or ("star",) in groups or not keep <= named or _calls(groups) or any(all(x != e and e != ("var", n) for x, n in items) for e, _ in order):
+            return False
+        scratch, scans, parts, seen = Scratch(self.g.spark, "counted"), {}, [], set()
+        for path in paths:
+            on, via = path[2][::2], path[2][1::2]
+            if any(a[1] == b[1] for a, b in zip(on, on[1:], strict=False)):
+                return False
+            for i, node in enumerate(on):
+                if node[1] in seen:
+                    scan = self.node_scan(("node", self.fresh("n"), *node[2:])) if node[2] or node[4] else None
+                    scan = None if scan is None else scan.select(F.col(scan.columns[0]).alias(f"{node[1]}__id")).distinct()
+                else:
+                    hint = self.hint(via[i - 1], via[i - 1][3], end=True) if i else self.hint(via[0], via[0][3], end=False) if via else None
+                    scan = self.node_scan(node, hint)
+                    scans[node[1]] = scan
+                    if scan is None and not via:
+                        scan = self.g.node_view().select(F.col("node_id").alias(f"{node[1]}__id"))
+                    scan = None if scan is None or node[1] in keep else scan.select(f"{node[1]}__id")
+                    seen.add(node[1])
+                if scan is not None:
+                    parts.append(scan.withColumn("_m", F.lit(1).cast("long")))
+            for a, rel, b in zip(on, via, on[1:], strict=False):
+                parts.append(self.edge_scan(rel, rel[3]).select(F.col("_from").alias(f"{a[1]}__id"), F.col("_to").alias(f"{b[1]}__id"), F.lit(1).cast("long").alias("_m")))
+        out = joins.summed([scratch.table(p, "part") for p in parts], {f"{v}__id" for v in keep}, scratch)
+        for v in sorted(keep):
+            if scans[v] is not None:
+                out = out.join(scans[v], f"{v}__id")
+        self.df, self.times = out, "_m"
+        self.scope |= dict.fromkeys(keep, "node")
+        return True
+
     def left_join(self, right: DataFrame, shared: list[str]) -> None:
         if not shared:
             self.df = self.df.join(right, F.lit(True), "left")
@@ -417,7 +469,7 @@ class Planner:
             sorts.append(F.col(f"`{same}`").asc_nulls_last() if up else F.col(f"`{same}`").desc_nulls_first())
         if grouped:
             own = [F.col(k) for k in keys or []]
-            self.df = self.df.groupBy(*own, *groups).agg(*made)
+            self.df, self.times = self.df.groupBy(*own, *groups).agg(*made), None
         else:
             self.df = self.df.select(*(keys or []), *groups)
         self.scope = scope | ({} if keys is None else {})
@@ -572,6 +624,8 @@ class Planner:
         first = args[0] if args else None
         var = first[1] if first and first[0] == "var" and not (local and first[1] in local) else None
         kind = self.scope.get(var) if var else None
+        if name == "count" and self.times:
+            return F.coalesce(F.sum(self.times), F.lit(0)).cast("long")
         if name in AGGREGATES:
             return aggregate(name, distinct, [] if first == ("star",) else [c(a) for a in args])
         if kind == "path":
