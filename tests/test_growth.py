@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis import storage
 from trellis.operators import analytics as A
+from trellis.operators import paths
 from trellis.storage import Scratch
 
 
@@ -68,3 +69,14 @@ def test_counted_cycle(spark, written):
             if w == v:
                 want[c] += i * j * zs[c, u]
     assert got == {c: k for c, k in want.items() if k} and any("summed" in name for name, *_ in written)
+
+
+def test_shortest_paths_do_not_meet_other_sources_edges(spark, monkeypatch):
+    """What a hub's edges are joined with has the source as a key too."""
+    n, plans, table = 3000, [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name="t": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or table(self, df, name))
+    g = spark.range(n).select(F.concat(F.lit("leaf"), "id").alias("s"), F.lit("E").alias("p"), F.lit("hub").alias("o_id")).unionAll(spark.createDataFrame([("hub", "E", "end")], "s string, p string, o_id string"))
+    rows = paths.shortest(g, g.where("s <> 'hub'").select(F.col("s").alias("src"), F.lit("end").alias("dst")), 4).collect()
+    assert len(rows) == n and all(r.nodes == [r.src, "hub", "end"] and r.rels == ["E", "E"] for r in rows)
+    back = [line for plan in plans for line in plan.splitlines() if "Join Inner" in line and "at#" in line]
+    assert back and all("src#" in line for line in back)
