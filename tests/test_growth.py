@@ -1,6 +1,8 @@
 """What a task, a shuffle or the driver holds does not grow faster than the tables."""
 
+import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,15 @@ def test_stream_buckets_keep_no_running_result(spark, tmp_path, written):
     got = buckets.buckets_available(stream).collect()
     assert len(got) == 300 and {(r.n, r.sum, r.min, r.max) for r in got} == {(1, 1.5, 1.5, 1.5)}
     assert any(df.inputFiles() for *_, df in written) and buckets.buckets_available(buckets.read(spark, f"{tmp_path}/e", schema, 1).where("s = 'no'")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 1 << 29])
+def test_triangles_of_many_groups_make_no_wedges(spark, written, monkeypatch, bits):
+    monkeypatch.setattr(A, "TASK_EDGES", 60)
+    monkeypatch.setattr(A, "TASK_BITS", bits)
+    rng = random.Random(7)
+    link = {(i, j) for i in range(60) for j in range(i) if rng.random() < 0.2} | {(i, 0) for i in range(1, 60)}
+    want = Counter(x for i, j, k in combinations(range(59, -1, -1), 3) if {(i, j), (j, k), (i, k)} <= link for x in (i, j, k))
+    got = {int(r.id): r.triangles for r in A.triangles(edges(spark, [(str(a), str(b)) for a, b in link])).collect()}
+    assert got == {i: want[i] for i in range(60)}
+    assert "blocks" in {name for name, *_ in written} and max(df.count() for _, _, df in written) <= 2 * len(link)
