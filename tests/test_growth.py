@@ -106,3 +106,24 @@ def test_triangles_of_many_groups_make_no_wedges(spark, written, monkeypatch, bi
     got = {int(r.id): r.triangles for r in A.triangles(edges(spark, [(str(a), str(b)) for a, b in link])).collect()}
     assert got == {i: want[i] for i in range(60)}
     assert "blocks" in {name for name, *_ in written} and max(df.count() for _, _, df in written) <= 2 * len(link)
+
+
+def test_communities_of_components_are_found_in_tasks(spark, monkeypatch):
+    """More edges in all than one task may hold; a component that is too large is refused."""
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "abcdef" for i in range(8) for j in range(i)] + [("z0", "z1")]
+    monkeypatch.setattr(A, "MOST_EDGES", 30)
+    rows = A.communities(edges(spark, pairs)).collect()
+    assert {r.id: (r.community, r.size) for r in rows} == {f"{c}{i}": (k, 8) for k, c in enumerate("abcdef") for i in range(8)} | {"z0": (6, 2), "z1": (6, 2)}
+    monkeypatch.setattr(A, "MOST_EDGES", 20)
+    with pytest.raises(ValueError):
+        A.communities(edges(spark, pairs))
+
+
+def test_numbers_stand_for_ids_in_loops(spark, written):
+    g = edges(spark, [("b", "a"), ("c", "b"), ("a", "c"), ("x", "y"), ("z", "z"), ("c", "x")])
+    assert {r.id: r.component for r in A.components(g).collect()} == dict.fromkeys("abcxy", "a") | {"z": "z"}
+    assert {r.id: r.component for r in A.strong_components(g).collect()} == dict.fromkeys("abc", "a") | {c: c for c in "xyz"}
+    assert {r.id: r.coreness for r in A.k_core(g).collect()} == dict.fromkeys("abc", 2) | dict.fromkeys("xy", 1)
+    assert {r.id: r.label for r in A.label_propagation(g, 1).collect()} == {"a": "b", "b": "a", "c": "a", "x": "c", "y": "x", "z": "z"}
+    looped = [types for name, types, _ in written if name in ("both", "up", "far", "label", "value", "left", "live", "c", "same")]
+    assert len(looped) > 10 and not any(kind == "string" for types in looped for kind in types.values())
