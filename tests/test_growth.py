@@ -127,3 +127,24 @@ def test_numbers_stand_for_ids_in_loops(spark, written):
     assert {r.id: r.label for r in A.label_propagation(g, 1).collect()} == {"a": "b", "b": "a", "c": "a", "x": "c", "y": "x", "z": "z"}
     looped = [types for name, types, _ in written if name in ("both", "up", "far", "label", "value", "left", "live", "c", "same")]
     assert len(looped) > 10 and not any(kind == "string" for types in looped for kind in types.values())
+
+
+def test_postings_are_counted_without_a_shuffle(spark, monkeypatch):
+    from trellis.operators import search
+
+    plans, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name="t": plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df, name))
+    texts = [(1, "B a b  a b!"), (2, "... "), (3, None), (4, "c"), (5, "")]
+    one = search.BM25(spark.createDataFrame(texts, "id int, text string"))
+    assert {(r.id, r.len, r.term, r.tf) for r in one.postings.collect()} == {(1, 5, "a", 2), (1, 5, "b", 3), (4, 1, "c", 1)}
+    assert (one.n, one.mean) == (2, 3.0) and "Exchange" not in plans[0]
+    twice = search.BM25(spark.createDataFrame([*texts, (1, "a a a a a"), (1, "a")], "id int, text string"))
+    assert {(r.id, r.len, r.term, r.tf) for r in twice.postings.collect()} == {(1, 5, "a", 7), (1, 5, "b", 3), (1, 1, "a", 1), (4, 1, "c", 1)} and twice.n == 2
+
+
+def test_edges_take_the_scores_of_their_vectors(spark):
+    from trellis.operators import search
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, embedding array<float>")
+    e = spark.createDataFrame([("a", "E", "b", 1), ("a", "E", "c", 2), ("d", "E", "e", 3), ("f", "E", "g", 1)], "s string, p string, o_id string, id int")
+    assert search.edge_knn_by(e, v, [1.0, 0.0], 3).collect() == [("a", "E", "b", 1.0), ("f", "E", "g", 1.0), ("a", "E", "c", 0.0)] == search.edge_knn(e.join(v, "id"), [1.0, 0.0], 3).collect()
