@@ -148,3 +148,14 @@ def test_edges_take_the_scores_of_their_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, embedding array<float>")
     e = spark.createDataFrame([("a", "E", "b", 1), ("a", "E", "c", 2), ("d", "E", "e", 3), ("f", "E", "g", 1)], "s string, p string, o_id string, id int")
     assert search.edge_knn_by(e, v, [1.0, 0.0], 3).collect() == [("a", "E", "b", 1.0), ("f", "E", "g", 1.0), ("a", "E", "c", 0.0)] == search.edge_knn(e.join(v, "id"), [1.0, 0.0], 3).collect()
+
+
+def test_personalised_rank_has_rows_near_its_seeds_alone(spark, written):
+    far = [(f"far{i}", f"far{i + 1}") for i in range(500)]
+    g = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), *far])
+    got = {r.id: round(r.score, 9) for r in A.personalized_pagerank(g, ["a", "nowhere"], rounds=2, tolerance=1e-12).collect()}
+    x = 0.5, 0.0, 0.0
+    for _ in range(2):
+        x = 0.075 + 0.85 * x[1] / 2, 0.85 * x[0], 0.85 * x[1] / 2
+    assert got == {k: round(v, 9) for k, v in zip("abc", x, strict=True) if v}
+    assert max(df.count() for name, _, df in written if name == "rank") <= 3
