@@ -159,3 +159,12 @@ def test_personalised_rank_has_rows_near_its_seeds_alone(spark, written):
         x = 0.075 + 0.85 * x[1] / 2, 0.85 * x[0], 0.85 * x[1] / 2
     assert got == {k: round(v, 9) for k, v in zip("abc", x, strict=True) if v}
     assert max(df.count() for name, _, df in written if name == "rank") <= 3
+
+
+def test_rings_make_no_wedges(spark, written, monkeypatch):
+    monkeypatch.setattr(A, "TASK_EDGES", 40)
+    rng = random.Random(3)
+    link = {(i, j) for i in range(40) for j in range(40) if i != j and rng.random() < 0.06}
+    want = {str(x) for i, j in link for k in range(40) if (j, k) in link and (k, i) in link for x in (i, j, k)}
+    assert {r.id for r in A.rings(edges(spark, [(str(a), str(b)) for a, b in link])).collect()} == want and 0 < len(want) < 40
+    assert max(df.count() for _, _, df in written) <= 2 * len(link)
